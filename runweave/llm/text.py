@@ -89,13 +89,16 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             at = to
 
 
-def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and where each document's words begin among them."""
+def words(buf: np.ndarray, offsets: np.ndarray, member: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, and where each document's words begin among them.
+
+    `member` says for each byte whether it belongs to a word.
+    """
     n = len(buf)
     if n == 0:
         empty = np.zeros(0, dtype=np.int64)
         return empty, empty, np.zeros(len(offsets), dtype=np.int64)
-    inside = _IS_WORD[buf]
+    inside = member[buf]
     border = np.zeros(n + 1, dtype=bool)
     border[offsets] = True
     border[1:n] |= ~inside[:-1]
