@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from runweave.llm.langid import op2_language_id
 from runweave.llm.mixing import op10_mix_sources
+from runweave.llm.packing import op6_pack
 from runweave.llm.secrets import op8_secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
+    "op6_pack": op6_pack,
     "op8_secret_scan": op8_secret_scan,
     "op10_mix_sources": op10_mix_sources,
 }
