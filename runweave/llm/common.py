@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,3 +39,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Bits of a bitmap: 16 for each value that is put in, within these limits.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30
+
+
+def bitmap(values: DataFrame, count: int) -> np.ndarray:
+    """Bytes of a bitmap of `count` 64-bit values, the one column of `values`; nulls count as 0.
+
+    A value sets the bit of its lowest bits, so values must be hashes. The size
+    is a power of two and at most MOST_BITS, which bounds what is gathered here
+    and broadcast; fuller bitmaps let more through, never less.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * count).bit_length()))
+    # in Spark's bitmaps value v > 0 is bit v - 1, counted from bucket 1 on
+    bit = F.coalesce(F.col(values.columns[0]), F.lit(0)).bitwiseAND(F.lit(bits - 1)) + 1
+    maps = values.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
+    full = np.zeros(bits // 8, dtype=np.uint8)
+    for r in maps.toLocalIterator():
+        at = (r["bucket"] - 1) * 4096
+        full[at : at + 4096] = np.frombuffer(r["map"], dtype=np.uint8)
+    return full
+
+
+def in_bitmap(full: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of the 64-bit values may have been put into a bitmap."""
+    spots = values.astype(np.int64) & np.int64(8 * len(full) - 1)
+    return (full[spots >> 3] >> (spots & 7).astype(np.uint8)) & 1 == 1

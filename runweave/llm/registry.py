@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from runweave.llm.jaccard import op9_ngram_jaccard_join
 from runweave.llm.langid import op2_language_id
 from runweave.llm.mixing import op10_mix_sources
 from runweave.llm.packing import op6_pack
@@ -15,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op6_pack": op6_pack,
     "op8_secret_scan": op8_secret_scan,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_mix_sources": op10_mix_sources,
 }
 
