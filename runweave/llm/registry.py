@@ -11,10 +11,12 @@ from runweave.llm.langid import op2_language_id
 from runweave.llm.mixing import op10_mix_sources
 from runweave.llm.packing import op6_pack
 from runweave.llm.secrets import op8_secret_scan
+from runweave.llm.substrings import op7_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op6_pack": op6_pack,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_secret_scan": op8_secret_scan,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_mix_sources": op10_mix_sources,
