@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from runweave.llm.fingerprints import op1_fingerprint
 from runweave.llm.jaccard import op9_ngram_jaccard_join
 from runweave.llm.langid import op2_language_id
 from runweave.llm.mixing import op10_mix_sources
@@ -14,6 +15,7 @@ from runweave.llm.secrets import op8_secret_scan
 from runweave.llm.substrings import op7_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprint": op1_fingerprint,
     "op2_language_id": op2_language_id,
     "op6_pack": op6_pack,
     "op7_substring_dedup": op7_substring_dedup,
