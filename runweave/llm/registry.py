@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from runweave.llm.chat import op4_chat_format
 from runweave.llm.fingerprints import op1_fingerprint
 from runweave.llm.jaccard import op9_ngram_jaccard_join
 from runweave.llm.langid import op2_language_id
@@ -17,6 +18,7 @@ from runweave.llm.substrings import op7_substring_dedup
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint": op1_fingerprint,
     "op2_language_id": op2_language_id,
+    "op4_chat_format": op4_chat_format,
     "op6_pack": op6_pack,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_secret_scan": op8_secret_scan,
