@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from runweave.llm.ann import op5_nearest_neighbours
 from runweave.llm.chat import op4_chat_format
 from runweave.llm.fingerprints import op1_fingerprint
 from runweave.llm.jaccard import op9_ngram_jaccard_join
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint": op1_fingerprint,
     "op2_language_id": op2_language_id,
     "op4_chat_format": op4_chat_format,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_pack": op6_pack,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_secret_scan": op8_secret_scan,
