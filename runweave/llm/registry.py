@@ -11,6 +11,7 @@ from runweave.llm.chat import op4_chat_format
 from runweave.llm.fingerprints import op1_fingerprint
 from runweave.llm.jaccard import op9_ngram_jaccard_join
 from runweave.llm.langid import op2_language_id
+from runweave.llm.lmscore import op3_lm_score
 from runweave.llm.mixing import op10_mix_sources
 from runweave.llm.packing import op6_pack
 from runweave.llm.secrets import op8_secret_scan
@@ -19,6 +20,7 @@ from runweave.llm.substrings import op7_substring_dedup
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint": op1_fingerprint,
     "op2_language_id": op2_language_id,
+    "op3_lm_score": op3_lm_score,
     "op4_chat_format": op4_chat_format,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_pack": op6_pack,
