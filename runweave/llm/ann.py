@@ -15,20 +15,22 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runweave.llm.common import materialize, table
 
 #: Rows from which centroids and codewords are learned, in expectation; all rows are indexed.
-TRAIN_ROWS = 65_536
+TRAIN_ROWS = 32_768
 #: Rows of a list on average, lists at most, and parts of a vector with 256 codewords each.
 LIST_ROWS, MOST_LISTS, PARTS = 1024, 4096, 16
 #: Rows of a chunk; a query ranks that many of them exactly at least.
 CHUNK_ROWS, LEAST_RERANK = 2048, 64
 #: Neighbours of TRIALS sampled rows that probing, and then ranking by codes, must find; lists probed at least.
-GOAL, TRIALS, LEAST_PROBES = 0.98, 256, 4
+GOAL, TRIALS, LEAST_PROBES = 0.98, 128, 4
 NEIGHBOURS, QUERY_STEP = 20, 20
+#: Groups in which what chunks have found for a query is merged first.
+MERGES = 32
 _QUERY_BLOCK = 128
 
 
@@ -137,7 +139,8 @@ def search(vectors: DataFrame, query_step: int = QUERY_STEP, k: int = NEIGHBOURS
     a null id, or whose vector is null, zero, or has a null or non-finite
     component or another length than most, take no part. Scores are inner
     products in double precision; equal ones go to the smaller vec_id. A query
-    with fewer candidates than k gets all. Repeated rows are candidates each.
+    with fewer candidates than k gets all. Rows that repeat an id are candidates
+    each; as queries they are one, with the first of their vectors.
     Extra columns are ignored; an empty table gives an empty result.
 
     How many lists are probed and how many rows ranked exactly follows from the
@@ -216,14 +219,17 @@ def search(vectors: DataFrame, query_step: int = QUERY_STEP, k: int = NEIGHBOURS
                 order = order[np.arange(len(order)) - first[which[order]] < k]
                 out.append((block[which[order]], found[order], score[order]))
         q, v, s = (np.concatenate([o[i] for o in out]) if out else np.zeros(0) for i in range(3))
-        return pa.table({"query_id": pa.array(q.astype(np.int64)), "vec_id": pa.array(v.astype(np.int64)), "score": pa.array(s.astype(np.float64))})
+        first = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1]))) if len(q) else np.zeros(0, dtype=np.int64)
+        rows = pa.StructArray.from_arrays([pa.array(-s.astype(np.float64)), pa.array(v.astype(np.int64))], names=["order", "vec_id"])
+        return pa.table({"query_id": pa.array(q[first].astype(np.int64)), "found": pa.ListArray.from_arrays(pa.array(np.append(first, len(q)), pa.int32()), rows)})
 
     n_chunks = F.array(*(F.lit(int(c)) for c in chunks))
     dealt = indexed.withColumn("chunk", F.pmod(F.xxhash64("vec_id", "codes"), F.get(n_chunks, F.col("list")).cast("long")).cast("int"))
-    queries = indexed.where(F.col("vec_id") % query_step == 0).select("vec_id", "vector").mapInArrow(probe, "query_id long, query binary, list int, chunk int")
-    found = dealt.groupBy("list", "chunk").cogroup(queries.groupBy("list", "chunk")).applyInArrow(best, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    queries = indexed.where(F.col("vec_id") % query_step == 0).groupBy("vec_id").agg(F.min("vector").alias("vector")).mapInArrow(probe, "query_id long, query binary, list int, chunk int")
+    found = dealt.groupBy("list", "chunk").cogroup(queries.groupBy("list", "chunk")).applyInArrow(best, "query_id long, found array<struct<order:double,vec_id:long>>")
+    merged = lambda rows: F.slice(F.array_sort(F.flatten(F.collect_list(rows))), 1, k)
+    few = found.groupBy("query_id", F.pmod(F.xxhash64("found"), F.lit(MERGES))).agg(merged("found").alias("found")).groupBy("query_id").agg(merged("found").alias("found"))
+    return few.select("query_id", F.posexplode("found").alias("place", "one")).select("query_id", (F.col("place") + 1).alias("rank"), "one.vec_id", (-F.col("one.order")).alias("score"))
 
 
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
