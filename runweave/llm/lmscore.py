@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runweave.llm.common import partitions, table
+from runweave.llm.common import bitmap, in_bitmap, partitions, table
 from runweave.llm.text import U64, blocks, mix, utf8, word_hashes, words
 
 #: Slots of words and of bigrams. Both models together are broadcast with 16 bytes for each slot.
@@ -49,82 +49,93 @@ def _in_text(doc: np.ndarray, slot: np.ndarray) -> np.ndarray:
     return count[which]
 
 
-def _counts(docs: DataFrame, vocabulary: int, bigrams: int) -> dict[bool, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For target and background: counts of words, of words as the first of a bigram, and of bigrams."""
+def _counts(docs: DataFrame, vocabulary: int, bigrams: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of words, of words as the first of a bigram, and of bigrams, in the texts of `docs`."""
     sizes = (vocabulary, vocabulary, bigrams)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[bool, np.ndarray] = {}
+        total = np.zeros(sum(sizes), dtype=np.int64)
+        parts = np.split(total, np.cumsum(sizes)[:-1])
         for batch in blocks(batches):
-            target = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
-            own, before, pair, first = _slots(batch, vocabulary, bigrams)
-            of = np.repeat(target, np.diff(first))
-            for kind in (True, False):
-                at = of == kind
-                if at.any():
-                    got = np.concatenate([np.bincount(x[at], minlength=n) for x, n in zip((own, before, pair), sizes, strict=True)])
-                    total[kind] = total[kind] + got if kind in total else got
-        for kind, got in total.items():
-            for i, row in enumerate(got.reshape(-1, ROW)):
-                yield pa.RecordBatch.from_pydict({"target": [kind], "row": pa.array([i], pa.int32()), "counts": pa.array([zlib.compress(row.astype("<i8").tobytes(), 1)], pa.binary())})
+            for part, slots in zip(parts, _slots(batch, vocabulary, bigrams)[:3], strict=True):
+                np.add.at(part, slots, 1)
+        for i, row in enumerate(total.reshape(-1, ROW)):
+            if row.any():
+                yield pa.RecordBatch.from_pydict({"row": pa.array([i], pa.int32()), "counts": pa.array([zlib.compress(row.astype("<i8").tobytes(), 1)], pa.binary())})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[bool, int], np.ndarray] = {}
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for kind, i, counts in zip(*(batch.column(c).to_pylist() for c in ("target", "row", "counts")), strict=True):
-                sums[kind, i] = sums.get((kind, i), 0) + np.frombuffer(zlib.decompress(counts), dtype="<i8")
-        for (kind, i), row in sums.items():
-            yield pa.RecordBatch.from_pydict({"target": [kind], "row": pa.array([i], pa.int32()), "counts": pa.array([row.astype("<i8").tobytes()], pa.binary())})
-
-    schema = "target boolean, row int, counts binary"
-    met = docs.select("text", "target").mapInArrow(count, schema).repartition(partitions(docs.sparkSession), "target", "row").mapInArrow(add, schema)
-    out = {kind: np.zeros(sum(sizes), dtype=np.int64) for kind in (True, False)}
+            for i, counts in zip(batch.column("row").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                sums[i] = sums.get(i, 0) + np.frombuffer(zlib.decompress(counts), dtype="<i8")
+        for i, row in sums.items():
+            yield pa.RecordBatch.from_pydict({"row": pa.array([i], pa.int32()), "counts": pa.array([row.astype("<i8").tobytes()], pa.binary())})
+
+    schema = "row int, counts binary"
+    met = docs.select("text").mapInArrow(count, schema).repartition(partitions(docs.sparkSession), "row").mapInArrow(add, schema)
+    out = np.zeros(sum(sizes), dtype=np.int64)
     for r in met.toLocalIterator():  # one number for each slot
-        out[r["target"]][r["row"] * ROW : (r["row"] + 1) * ROW] = np.frombuffer(r["counts"], dtype="<i8")
-    return {kind: tuple(np.split(got, np.cumsum(sizes)[:-1])) for kind, got in out.items()}
+        out[r["row"] * ROW : (r["row"] + 1) * ROW] = np.frombuffer(r["counts"], dtype="<i8")
+    return tuple(np.split(out, np.cumsum(sizes)[:-1]))
 
 
-def score(docs: DataFrame, vocabulary: int = VOCABULARY, bigrams: int = BIGRAMS) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss and score of every row of (doc_id, text, target).
+def score(docs: DataFrame, targets: DataFrame, vocabulary: int = VOCABULARY, bigrams: int = BIGRAMS) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss and score of every row of (doc_id, text).
 
-    Losses are means over a text's words, in nats; a text that is null or has no
-    words has 0 tokens and null losses and score. A row whose `target` is null
-    counts as background. A document's own words are taken out of the counts of
-    its model before it is scored, but not those of its copies.
+    `targets` has the ids, column doc_id, of the documents that the target model
+    learns from; all others, those without id too, are background. Losses are
+    means over a text's words, in nats; a text that is null or has no words has
+    0 tokens and null losses and score. A document's own words are taken out of
+    the counts of its model before it is scored, but not those of its copies.
     Without target words, or without background words, that model is uniform.
     Extra columns are ignored, repeated rows count each.
+
+    The texts of targets, let through by a bitmap of their ids, are the only
+    ones that are shuffled. Every document is scored as a target and as
+    background, and what it is decides between the two.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce("target", F.lit(False)).alias("target"))
-    counts = _counts(docs, vocabulary, bigrams)
-    target, background = counts[True], counts[False]
-    scale = target[0].sum() / max(1, background[0].sum()) if target[0].sum() else 1.0
-    model = {True: [x.astype(np.float32) for x in target], False: [(x * scale).astype(np.float32) for x in background]}
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    targets = targets.select(F.col("doc_id").cast("long")).where(F.col("doc_id").isNotNull()).distinct()
+    hits = spark.sparkContext.broadcast(bitmap(targets.select(F.xxhash64("doc_id")), targets.count()))
+
+    def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(hits.value, batch.column("spot").to_numpy())))
+
+    likely = docs.withColumn("spot", F.xxhash64("doc_id")).mapInArrow(through, "doc_id long, text string, spot long")
+    # always by merging: a small side that is broadcast at first would make the texts' shuffle come later
+    every, target = _counts(docs, vocabulary, bigrams), _counts(likely.join(targets.hint("merge"), "doc_id"), vocabulary, bigrams)
+    background = tuple(x - y for x, y in zip(every, target, strict=True))
+    scale = float(target[0].sum() / background[0].sum()) if target[0].sum() and background[0].sum() else 1.0
+    shared = spark.sparkContext.broadcast({True: [x.astype(float) for x in target], False: [x.astype(float) for x in background]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = {kind: float(shared.value[kind][0].sum(dtype=np.float64)) for kind in (True, False)}
+        totals = {kind: shared.value[kind][0].sum() for kind in (True, False)}
         for batch in blocks(batches):
-            own, before, pair, first = _slots(batch, vocabulary, bigrams)
-            n = np.diff(first)
+            slots = _slots(batch, vocabulary, bigrams)
+            n = np.diff(slots[3])
             doc = np.repeat(np.arange(batch.num_rows), n)
-            is_target = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
-            inside = [_in_text(doc, x) for x in (own, before, pair)]
-            mean = {}
+            inside = [_in_text(doc, x) for x in slots[:3]]
+            columns = []
             for kind in (True, False):
-                weight = np.where(is_target == kind, 1.0 if kind else scale, 0.0)  # of the text's own words in this model
-                word, context, both = (np.maximum(counts[x] - weight[doc] * mine, 0) for counts, x, mine in zip(shared.value[kind], (own, before, pair), inside, strict=True))
-                plain = (word + FLOOR) / (np.maximum(totals[kind] - weight * n, 0)[doc] + FLOOR * vocabulary)
-                # slots of bigrams are shared, so a bigram may seem more frequent than its first word
-                chance = (np.minimum(both, context) + BACKOFF * plain) / (context + BACKOFF)
-                mean[kind] = np.bincount(doc, weights=-np.log(chance), minlength=batch.num_rows) / np.maximum(n, 1)
-            empty = n == 0
-            columns = [pa.array(x, pa.float64(), mask=empty) for x in (mean[True], mean[False], mean[True] - mean[False])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), *columns], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+                counts = [x[at] for x, at in zip(shared.value[kind], slots, strict=False)]
+                size = 1.0 if kind else scale
+                for taken_out in (1, 0):  # of the text's own words
+                    word, context, both = (size * np.maximum(x - taken_out * mine, 0) for x, mine in zip(counts, inside, strict=True))
+                    plain = (word + FLOOR) / (size * np.maximum(totals[kind] - taken_out * n, 0)[doc] + FLOOR * vocabulary)
+                    # slots of bigrams are shared, so a bigram may seem more frequent than its first word
+                    chance = (np.minimum(both, context) + BACKOFF * plain) / (context + BACKOFF)
+                    columns.append(pa.array(np.bincount(doc, weights=-np.log(chance), minlength=batch.num_rows) / np.maximum(n, 1), pa.float64(), mask=n == 0))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), *columns], names=["doc_id", "n_tokens", "t_other", "t_all", "b_other", "b_all"])
+
+    both = docs.mapInArrow(run, "doc_id long, n_tokens long, t_other double, t_all double, b_other double, b_all double")
+    flagged = both.join(targets.withColumn("is_target", F.lit(True)).hint("merge"), "doc_id", "left")
+    losses = flagged.select("doc_id", "n_tokens", F.when(F.col("is_target"), F.col("t_other")).otherwise(F.col("t_all")).alias("target_loss"), F.when(F.col("is_target"), F.col("b_all")).otherwise(F.col("b_other")).alias("background_loss"))
+    return losses.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents; the target are those with a label of quality 1."""
-    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
-    return score(table(spark, sf_dir, "documents").select("doc_id", "text").join(good, "doc_id", "left"))
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return score(table(spark, sf_dir, "documents"), good)
