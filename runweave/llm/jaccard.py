@@ -4,11 +4,10 @@ The join is a sparse product of the document by n-gram incidence matrix with its
 transpose, done in blocks and thinned by bounds that follow from set sizes:
 
 - Documents with equal sets are one row, a class.
-- Columns are ordered from rare to frequent. For a similarity of t, the smaller
-  of two linked sets shares an n-gram among its first n - ceil(2t/(1+t) n) + 1
-  with the larger one's first n - ceil(t n) + 1. Only these entries are
-  multiplied, and a product is dropped when sizes and positions show that the
-  overlap can't reach the bound.
+- Columns are ordered from rare to frequent. For a similarity of t, only the
+  first n - ceil(t n) + 1 entries of a row are multiplied. Products of rows whose
+  sizes can't link are left out, and a pair is dropped when its accumulated
+  overlap is below what a linked pair of these sizes has at least.
 - What is left has its full overlap counted, row against row.
 
 A group of near copies would give all its pairs. So the first products take, for
@@ -38,6 +37,8 @@ from runweave.llm.text import U64, blocks, mix, shingles, utf8, word_hashes, wor
 WIDTH, PERCENT = 3, 90
 #: Products with one member of each column at most, and members tried for each class in one.
 STAR_ROUNDS, STAR_TRIES = 6, 3
+#: Pairs are tried there if they share this part of the columns that links need, as the columns have other chosen members too.
+STAR_SHARE = 4
 #: They end when fewer than one in so many pairs tried is a link; the last product finds all that is left.
 STAR_STOP = 20
 #: Counters of n-gram frequency, which only order the columns, and the slots in one row of them.
@@ -89,9 +90,9 @@ def _frequencies(docs: DataFrame, width: int) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _prefix_lengths(n: int, percent: int) -> tuple[int, int]:
-    """How many first columns a set of size n shows to sets at least, and at most, as large as itself."""
-    return n - -(-2 * percent * n // (100 + percent)) + 1, n - -(-percent * n // 100) + 1
+def _prefix_length(n: int, percent: int) -> int:
+    """How many first columns a set of size n shows."""
+    return n - -(-percent * n // 100) + 1
 
 
 def _rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -105,7 +106,7 @@ def _rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
             for values in _sets(batch, width):
                 n = len(values)
                 rank = slots[(values & U64(SLOTS - 1)).astype(np.int64)]
-                order = np.argsort(rank, kind="stable")[: _prefix_lengths(n, percent)[1] if n else 0]
+                order = np.argsort(rank, kind="stable")[: _prefix_length(n, percent) if n else 0]
                 sizes.append(n)
                 ids.append(_class_id(values))
                 firsts.append(values[order].view(np.int64))
@@ -139,7 +140,7 @@ def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, p
     """Those of the pairs of classes (a, b) that are linked, by their full overlap."""
     wanted = pairs.select(F.col("a").alias("cid")).unionAll(pairs.select(F.col("b").alias("cid"))).distinct().join(classes.select("cid", "first_id"), "cid")
     wanted = materialize(wanted, "jaccard-wanted")
-    sets = materialize(_needed_sets(docs, wanted, width).dropDuplicates(["cid"]), "jaccard-sets")
+    sets = materialize(_needed_sets(docs, wanted, width), "jaccard-sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,23 +158,37 @@ def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, p
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _possible(percent: int) -> Column:
-    """Whether entries 1 and 2 of one column may belong to a linked pair of different components.
+def _alike(percent: int) -> Column:
+    """Whether entries 1 and 2 of a column are of different components, and their classes may link.
 
-    The smaller set is looked up among its first columns only, and the overlap
-    is at most this column and what follows it in either set, if it is the first
-    that they share; if it is not, that one tells.
+    Their sizes must allow it, and either must show enough columns that any
+    other class shows, `shared`.
     """
-    n1, n2, p1, p2 = (F.col(c) for c in ("n1", "n2", "pos1", "pos2"))
-    small, large = F.least(n1, n2), F.greatest(n1, n2)
-    first = F.when(n1 < n2, p1).when(n2 < n1, p2).otherwise(F.least(p1, p2))
-    shown = first <= small - F.ceil(F.lit(2 * percent) * small / F.lit(100 + percent))
-    most = F.least(n1 - p1, n2 - p2)
-    return (F.col("component1") != F.col("component2")) & (F.lit(100) * small >= F.lit(percent) * large) & shown & (F.lit(100 + percent) * most >= F.lit(percent) * (n1 + n2))
+    small, large = F.least("n1", "n2"), F.greatest("n1", "n2")
+    sizes = F.lit(100) * small >= F.lit(percent) * large
+    return (F.col("component1") != F.col("component2")) & sizes & (F.least("shared1", "shared2") >= _least_shared(percent))
+
+
+def _first_shared(percent: int) -> Column:
+    """Whether this may be the first column that the two sets share: then the overlap is at most this and what follows."""
+    most = F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2"))
+    return F.lit(100 + percent) * most >= F.lit(percent) * (F.col("n1") + F.col("n2"))
+
+
+def _least_shared(percent: int) -> Column:
+    """Columns that a linked pair shows in common at least.
+
+    One of the two sets shows p columns up to where the other's end as well. It
+    has n - overlap others than the shared ones at most, so p - n + overlap of
+    them are shared.
+    """
+    overlap = F.ceil(F.lit(percent) * (F.col("n1") + F.col("n2")) / F.lit(100 + percent))
+    least = overlap + 1 - F.ceil(F.lit(percent) * F.greatest("n1", "n2") / F.lit(100))
+    return F.greatest(F.lit(1), least)
 
 
 def _side(entries: DataFrame, k: int, *keys: str) -> DataFrame:
-    return entries.select(*keys, *(F.col(c).alias(f"{c}{k}") for c in ("cid", "n", "pos", "component")))
+    return entries.select(*keys, *(F.col(c).alias(f"{c}{k}") for c in ("cid", "n", "pos", "shared", "component")))
 
 
 def _star(known: DataFrame, turn: int, percent: int) -> DataFrame:
@@ -185,10 +200,10 @@ def _star(known: DataFrame, turn: int, percent: int) -> DataFrame:
     drawn = F.xxhash64("token", "cid", F.lit(turn)) if turn > 1 else F.col("pos") / F.col("n")
     band = F.floor(F.log("n") / F.lit(math.log(200 / (100 + percent))) + F.lit(0.5 * (turn % 2)))
     rows = known.withColumn("band", band)
-    heads = rows.groupBy("token", "band").agg(F.min(F.struct(drawn.alias("drawn"), "cid", "n", "pos", "component")).alias("head")).select("token", "band", "head.*")
-    met = _side(rows, 1, "token", "band").join(_side(heads, 2, "token", "band"), ["token", "band"]).where(_possible(percent)).groupBy("cid1", "cid2").agg(F.count(F.lit(1)).alias("times"))
+    heads = rows.groupBy("token", "band").agg(F.min(F.struct(drawn.alias("drawn"), "cid", "n", "pos", "shared", "component")).alias("head")).select("token", "band", "head.*")
+    met = _side(rows, 1, "token", "band").join(_side(heads, 2, "token", "band"), ["token", "band"]).where(_alike(percent)).groupBy("cid1", "cid2", "n1", "n2").agg(F.count(F.lit(1)).alias("times"))
     best = Window.partitionBy("cid1").orderBy(F.desc("times"), F.xxhash64("cid2", F.lit(turn)))
-    chosen = met.withColumn("place", F.row_number().over(best)).where(F.col("place") <= STAR_TRIES)
+    chosen = met.where(F.col("times") * STAR_SHARE >= _least_shared(percent)).withColumn("place", F.row_number().over(best)).where(F.col("place") <= STAR_TRIES)
     return chosen.select(F.least("cid1", "cid2").alias("a"), F.greatest("cid1", "cid2").alias("b")).distinct()
 
 
@@ -196,7 +211,7 @@ def _open(entries: DataFrame, label: DataFrame) -> DataFrame:
     """The entries of columns that show several components, with their component."""
     known = entries.join(label.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     mixed = known.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    return materialize(known.join(mixed, "token").select("token", "cid", "n", "pos", "component"), "jaccard-open")
+    return materialize(known.join(mixed, "token").select("token", "cid", "n", "pos", "shared", "component"), "jaccard-open")
 
 
 def join_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -213,8 +228,10 @@ def join_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     classes = rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     classes = materialize(classes, "jaccard-classes")
     entries = classes.select("cid", "n", F.posexplode("tokens").alias("pos", "token"))
-    shared = entries.groupBy("token").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low <> high").select("token")
-    entries = materialize(entries.join(shared, "token"), "jaccard-entries")  # of columns that two classes show at least
+    shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("token")
+    # of columns that two classes show at least; a class has as many as it shows columns at most
+    entries = entries.join(shared, "token").withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("cid")))
+    entries = materialize(entries, "jaccard-entries")
 
     known, links = entries.withColumn("component", F.col("cid")), []
     for turn in range(STAR_ROUNDS):
@@ -225,7 +242,11 @@ def join_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         known = _open(entries, label)
         if turn % 2 and found.count() * STAR_STOP <= tried.count():  # both placements of the bands were tried
             break
-    rest = _side(known, 1, "token").join(_side(known, 2, "token"), "token").where(F.col("cid1") < F.col("cid2")).where(_possible(percent)).select(F.col("cid1").alias("a"), F.col("cid2").alias("b")).distinct()
+    rest = _side(known, 1, "token").join(_side(known, 2, "token"), "token").where(F.col("cid1") < F.col("cid2")).where(_alike(percent) & _first_shared(percent))
+    rest = materialize(rest.select("cid1", "cid2", "n1", "n2").distinct(), "jaccard-candidates")
+    shown = known.select("cid", "token")
+    rest = rest.join(shown.toDF("cid1", "token"), "cid1").join(shown.toDF("cid2", "token"), ["cid2", "token"])
+    rest = rest.groupBy("cid1", "cid2", "n1", "n2").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= _least_shared(percent)).select(F.col("cid1").alias("a"), F.col("cid2").alias("b"))
     links.append(materialize(_linked(docs, classes, materialize(rest, "jaccard-rest"), width, percent), "jaccard-links"))
     label = components(reduce(DataFrame.unionAll, links), "jaccard-components")
 
