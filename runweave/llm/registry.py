@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from runweave.llm import oracle
 from runweave.llm.ann import op5_nearest_neighbours
 from runweave.llm.chat import op4_chat_format
 from runweave.llm.fingerprints import op1_fingerprint
@@ -30,4 +31,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mix_sources": op10_mix_sources,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_chat_format": oracle.OP4,
+    "op7_substring_dedup": oracle.OP7,
+    "op9_ngram_jaccard_join": oracle.OP9,
+}
