@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runweave.llm.common import materialize
+from runweave.llm.common import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -40,5 +40,6 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        before = now
+        before, old = now, edges
         edges = materialize(_small_star(_large_star(edges)).distinct(), name)
+        discard(old)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from runweave.llm.common import bitmap, in_bitmap, materialize, table
+from runweave.llm.common import bitmap, discard, in_bitmap, materialize, table
 from runweave.llm.components import components
 from runweave.llm.text import U64, blocks, mix, shingles, utf8, word_hashes, words
 
@@ -141,6 +141,7 @@ def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, p
     wanted = pairs.select(F.col("a").alias("cid")).unionAll(pairs.select(F.col("b").alias("cid"))).distinct().join(classes.select("cid", "first_id"), "cid")
     wanted = materialize(wanted, "jaccard-wanted")
     sets = materialize(_needed_sets(docs, wanted, width), "jaccard-sets")
+    discard(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,7 +156,9 @@ def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, p
 
     with_b = pairs.join(sets.select(F.col("cid").alias("b"), F.col("members").alias("y")), "b")
     both = with_b.join(sets.select(F.col("cid").alias("a"), F.col("members").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    found = materialize(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "jaccard-links")
+    discard(sets)
+    return found
 
 
 def _alike(percent: int) -> Column:
@@ -236,7 +239,7 @@ def join_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     known, links = entries.withColumn("component", F.col("cid")), []
     for turn in range(STAR_ROUNDS):
         tried = materialize(_star(known, turn, percent), "jaccard-star")
-        found = materialize(_linked(docs, classes, tried, width, percent), "jaccard-links")
+        found = _linked(docs, classes, tried, width, percent)
         links.append(found)
         label = components(reduce(DataFrame.unionAll, links), "jaccard-components")
         known = _open(entries, label)
@@ -247,7 +250,7 @@ def join_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     shown = known.select("cid", "token")
     rest = rest.join(shown.toDF("cid1", "token"), "cid1").join(shown.toDF("cid2", "token"), ["cid2", "token"])
     rest = rest.groupBy("cid1", "cid2", "n1", "n2").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= _least_shared(percent)).select(F.col("cid1").alias("a"), F.col("cid2").alias("b"))
-    links.append(materialize(_linked(docs, classes, materialize(rest, "jaccard-rest"), width, percent), "jaccard-links"))
+    links.append(_linked(docs, classes, materialize(rest, "jaccard-rest"), width, percent))
     label = components(reduce(DataFrame.unionAll, links), "jaccard-components")
 
     named = classes.select("cid", "first_id").join(label.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
