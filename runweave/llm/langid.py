@@ -25,6 +25,8 @@ DIMS, ORDERS, TRAIN_DOCS = 1 << 16, (1, 2, 3, 4), 20_000
 #: Bytes of the broadcast matrix at most.
 MAX_MODEL_BYTES = 256 << 20
 UNDETERMINED = "und"
+#: Bytes of text whose n-grams are held at once, unless one text is longer.
+BLOCK = 1 << 18
 
 
 @lru_cache(1)
@@ -72,7 +74,7 @@ def _features(texts: list[str | None], orders: tuple[int, ...], dims: int) -> tu
 def _counts(dims: int, orders: tuple[int, ...]):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for batch in blocks(batches, limit=1 << 20):
+        for batch in blocks(batches, limit=BLOCK):
             langs = batch.column("lang").to_pylist()
             slots, docs, _ = _features(batch.column("text").to_pylist(), orders, dims)
             names, which = np.unique(np.array(langs, dtype=object).astype(str), return_inverse=True)
@@ -129,7 +131,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str
         logs = shared.value
         dims = logs.shape[0]
         names = np.array([*langs, UNDETERMINED], dtype=object)
-        for batch in blocks(batches, limit=1 << 20):
+        for batch in blocks(batches, limit=BLOCK):
             n = batch.num_rows
             best, sure = np.full(n, len(langs)), np.zeros(n)
             if langs:

@@ -8,14 +8,16 @@ values, taken for all words of a block at once from one running sum, then mixed.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes that a block of documents has at most, unless one document is longer.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 U64 = np.uint64
 _IS_WORD = np.ones(256, dtype=bool)
@@ -61,6 +63,16 @@ def _power_table(base: int, n: int) -> np.ndarray:
     return got[:n]
 
 
+@lru_cache(1)
+def give_memory_back() -> None:
+    """Let freed arrays go back to the system at once, as several workers share an executor's memory."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)  # glibc's; elsewhere nothing is set
+    if mallopt is not None:
+        mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and its offsets, from 0; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -76,6 +88,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the text of each has at most `limit` bytes, or is one row."""
+    give_memory_back()
     for batch in batches:
         if batch.num_rows == 0:
             continue
