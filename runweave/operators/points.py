@@ -71,15 +71,26 @@ def typed_value(dtype: str) -> Column:
 
 
 def step_ranges(df: DataFrame, keys: list[str], by: str = "step", rows: int = RANGE_ROWS) -> DataFrame:
-    """`df` with `__range`, numbering ranges of the integer column `by` with about `rows` rows, ascending in each key.
+    """`df` with `__keys`, its keys as one value that nulls are equal in, and `__range`.
 
-    It lets a metric of any size be ordered in many tasks instead of one.
+    That numbers ranges of the integer column `by` with about `rows` rows,
+    ascending in each key. It lets a metric of any size be ordered in many tasks
+    instead of one.
     """
-    size = df.groupBy(*keys).agg(F.min(by).alias("__low"), F.max(by).alias("__high"), F.count(F.lit(1)).alias("__count"))
-    same = [df[k].eqNullSafe(size[k]) for k in keys]
+    keyed = df.withColumn("__keys", F.struct(*keys))
+    size = keyed.groupBy(F.col("__keys").alias("__sized")).agg(F.min(by).alias("__low"), F.max(by).alias("__high"), F.count(F.lit(1)).alias("__count"))
     width = F.greatest(F.lit(1), F.ceil((F.col("__high") - F.col("__low") + 1) * F.lit(float(rows)) / F.col("__count")))
-    joined = df.join(size, same).drop(*(size[k] for k in keys))
-    return joined.withColumn("__range", F.floor((F.col(by) - F.col("__low")) / width)).drop("__low", "__high", "__count")
+    joined = keyed.join(size, F.col("__keys") == F.col("__sized"))
+    return joined.withColumn("__range", F.floor((F.col(by) - F.col("__low")) / width)).drop("__sized", "__low", "__high", "__count")
+
+
+def with_range(ranged: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of `step_ranges` with the columns of `found`, which has a row for each (__keys, __range).
+
+    The rows are dealt by these two, as windows within a range need them, too.
+    """
+    other = found.withColumnRenamed("__keys", "__found").withColumnRenamed("__range", "__at")
+    return ranged.join(other, (F.col("__keys") == F.col("__found")) & (F.col("__range") == F.col("__at"))).drop("__found", "__at")
 
 
 def with_pos(df: DataFrame, keys: tuple[str, ...] = ("run", "metric"), by: str = "step", rows: int = RANGE_ROWS) -> DataFrame:
@@ -88,15 +99,12 @@ def with_pos(df: DataFrame, keys: tuple[str, ...] = ("run", "metric"), by: str =
     Counts of ranges of steps are summed up first, so no task gets all of a
     large metric. `by` must tell the rows of a key apart.
     """
-    keys = list(keys)
-    ranged = step_ranges(df, keys, by, rows)
-    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = ranged.groupBy(*keys, "__range").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = sizes.select(*keys, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    same = [ranged[k].eqNullSafe(offsets[k]) for k in [*keys, "__range"]]
-    placed = ranged.join(offsets, same).drop(*(offsets[k] for k in [*keys, "__range"]))
-    inside = Window.partitionBy(*keys, "__range").orderBy(by)
-    return placed.withColumn("pos", F.col("__offset") + F.row_number().over(inside) - 1).drop("__offset", "__range")
+    ranged = step_ranges(df, list(keys), by, rows)
+    before = Window.partitionBy("__keys").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("__keys", "__range").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = sizes.select("__keys", "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    inside = Window.partitionBy("__keys", "__range").orderBy(by)
+    return with_range(ranged, offsets).withColumn("pos", F.col("__offset") + F.row_number().over(inside) - 1).drop("__offset", "__keys", "__range")
 
 
 def duplicates(points: DataFrame) -> DataFrame:

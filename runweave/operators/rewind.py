@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runweave.operators.points import RANGE_ROWS, step_ranges
+from runweave.operators.points import RANGE_ROWS, step_ranges, with_range
 
 
 def truncate_to_step(points: DataFrame, step: int, allow_empty: bool = False) -> DataFrame:
@@ -34,20 +34,20 @@ def resolve_rewinds(log: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
     follows is taken over ranges of lines, so a run is spread over tasks.
     """
     ranged = step_ranges(log, ["run"], "line", rows)
-    least = ranged.groupBy("run", "__range").agg(F.min("step").alias("least"))
-    after = F.min("least").over(Window.partitionBy("run").orderBy("__range").rowsBetween(1, Window.unboundedFollowing))
-    later = least.select(F.col("run").alias("r"), F.col("__range").alias("g"), after.alias("later"))
+    least = ranged.groupBy("__keys", "__range").agg(F.min("step").alias("least"))
+    after = F.min("least").over(Window.partitionBy("__keys").orderBy("__range").rowsBetween(1, Window.unboundedFollowing))
+    later = least.select("__keys", "__range", after.alias("__later"))
     # read from the last line on, as a frame that begins at the current row costs a pass for each
-    inside = F.min("step").over(Window.partitionBy("run", "__range").orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, -1))
-    joined = ranged.withColumn("soon", inside).join(later, F.col("run").eqNullSafe(F.col("r")) & (F.col("__range") == F.col("g")))
-    return joined.where(F.coalesce(F.col("soon") > F.col("step"), F.lit(True)) & F.coalesce(F.col("later") > F.col("step"), F.lit(True))).select(*log.columns)
+    soon = F.min("step").over(Window.partitionBy("__keys", "__range").orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, -1))
+    joined = with_range(ranged, later).withColumn("__soon", soon)
+    return joined.where(F.coalesce(F.col("__soon") > F.col("step"), F.lit(True)) & F.coalesce(F.col("__later") > F.col("step"), F.lit(True))).select(*log.columns)
 
 
 def repeated_steps(log: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
     """(run, line, step) of rows with the step of the row before, which is an error even where rewinds are allowed."""
     ranged = step_ranges(log.select("run", "line", "step"), ["run"], "line", rows)
-    ends = ranged.groupBy("run", "__range").agg(F.max_by("step", "line").alias("end"))
-    before = ends.select(F.col("run").alias("r"), F.col("__range").alias("g"), F.lag("end").over(Window.partitionBy("run").orderBy("__range")).alias("before"))
-    prev = F.lag("step").over(Window.partitionBy("run", "__range").orderBy("line"))
-    joined = ranged.withColumn("prev", prev).join(before, F.col("run").eqNullSafe(F.col("r")) & (F.col("__range") == F.col("g")))
+    ends = ranged.groupBy("__keys", "__range").agg(F.max_by("step", "line").alias("end"))
+    before = ends.select("__keys", "__range", F.lag("end").over(Window.partitionBy("__keys").orderBy("__range")).alias("before"))
+    prev = F.lag("step").over(Window.partitionBy("__keys", "__range").orderBy("line"))
+    joined = with_range(ranged, before).withColumn("prev", prev)
     return joined.where(F.col("step") == F.coalesce("prev", "before")).select("run", "line", "step")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runweave.operators.points import RANGE_ROWS, step_ranges
+from runweave.operators.points import RANGE_ROWS, step_ranges, with_range
 
 KEYS = ("run", "metric")
 #: Segments are kept if there are at most MOST, or one for each PER points.
@@ -14,13 +14,11 @@ MOST, PER = 4, 10
 
 def _diffs(points: DataFrame, rows: int) -> DataFrame:
     """Each point with the step after it, `next`, found over ranges of steps so that no task gets a whole metric."""
-    keys = list(KEYS)
-    ranged = step_ranges(points.select(*keys, "step"), keys, "step", rows)
-    first = ranged.groupBy(*keys, "__range").agg(F.min("step").alias("first"))
-    follows = first.withColumn("after", F.lead("first").over(Window.partitionBy(*keys).orderBy("__range"))).select(*(F.col(c).alias(f"_{c}") for c in [*keys, "__range"]), "after")
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*keys, "__range"]]
-    inside = Window.partitionBy(*keys, "__range").orderBy("step")
-    return ranged.withColumn("next", F.lead("step").over(inside)).join(follows, same).select(*keys, "step", "__range", F.coalesce("next", "after").alias("next"))
+    ranged = step_ranges(points.select(*KEYS, "step"), list(KEYS), "step", rows)
+    first = ranged.groupBy("__keys", "__range").agg(F.min("step").alias("first"))
+    after = first.select("__keys", "__range", F.lead("first").over(Window.partitionBy("__keys").orderBy("__range")).alias("after"))
+    inside = Window.partitionBy("__keys", "__range").orderBy("step")
+    return with_range(ranged, after).withColumn("next", F.coalesce(F.lead("step").over(inside), F.col("after")))
 
 
 def segment(points: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
@@ -35,10 +33,10 @@ def segment(points: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
     """
     keys = list(KEYS)
     steps = _diffs(points, rows)
-    inside = Window.partitionBy(*keys, "__range").orderBy("step")
+    inside = Window.partitionBy("__keys", "__range").orderBy("step")
     distance = F.col("next") - F.col("step")
     marked = steps.withColumn("diff", distance).withColumn("new", F.coalesce((F.col("diff") != F.lag("diff").over(inside)).cast("int"), F.lit(1)))
-    parts = marked.withColumn("part", F.sum("new").over(inside)).groupBy(*keys, "__range", "part", "diff").agg(F.min("step").alias("first"), F.count(F.lit(1)).alias("length"))
+    parts = marked.withColumn("part", F.sum("new").over(inside)).groupBy("__keys", "__range", *keys, "part", "diff").agg(F.min("step").alias("first"), F.count(F.lit(1)).alias("length"))
     # equal distances on both sides of a border are one run; the last point has no distance
     order = Window.partitionBy(*keys).orderBy("first")
     runs = parts.withColumn("joined", F.coalesce((~F.col("diff").eqNullSafe(F.lag("diff").over(order))).cast("int"), F.lit(1))).withColumn("rid", F.sum("joined").over(order))

@@ -43,8 +43,10 @@ def events(spark: SparkSession, sf_dir: str, dtype: str = "f64") -> DataFrame:
     return P.from_long(t, F.lit("events"), F.col("event_type"), F.col("event_id"), F.col("value"), dtype)
 
 
-def placed(spark: SparkSession, sf_dir: str, dtype: str = "f64") -> DataFrame:
-    return P.with_pos(events(spark, sf_dir, dtype)).select(*P.COLUMNS)
+def placed(spark: SparkSession, sf_dir: str, dtype: str = "f64", name: str | None = None) -> DataFrame:
+    """Points with pos; of one metric, which the scan is filtered by, or of all."""
+    found = events(spark, sf_dir, dtype)
+    return P.with_pos(found if name is None else found.where(F.col("metric") == name)).select(*P.COLUMNS)
 
 
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +71,7 @@ _PURCHASE = f"with ev as ({_EV}), m as (select pos, step, value from ev where me
 
 @_query(f"{_PURCHASE} select pos, step, value from m")
 def metric_full(spark, sf_dir):
-    return metric(placed(spark, sf_dir), "purchase", "f64")
+    return metric(placed(spark, sf_dir, name="purchase"), "purchase", "f64")
 
 
 @_query("select event_id as step from events where event_type = 'click'")
@@ -84,32 +86,32 @@ def metric_values(spark, sf_dir):
 
 @_query(f"{_PURCHASE} select pos, step, value from m where step between 100 and 5000")
 def step_range(spark, sf_dir):
-    return metric(placed(spark, sf_dir), "purchase", "f64", start=100, stop=5000)
+    return metric(placed(spark, sf_dir, name="purchase"), "purchase", "f64", start=100, stop=5000)
 
 
 @_query(f"{_PURCHASE} select pos, step, value from m where step >= 700.5")
 def step_range_open(spark, sf_dir):
-    return metric(placed(spark, sf_dir), "purchase", "f64", start=700.5)
+    return metric(placed(spark, sf_dir, name="purchase"), "purchase", "f64", start=700.5)
 
 
 @_query(f"{_PURCHASE} select pos, step, value from m where step >= 20 and step <= 10")
 def step_range_empty(spark, sf_dir):
-    return metric(placed(spark, sf_dir), "purchase", "f64", start=20, stop=10)
+    return metric(placed(spark, sf_dir, name="purchase"), "purchase", "f64", start=20, stop=10)
 
 
 @_query(f"{_PURCHASE} select pos, step, value from m where pos >= 20 and pos < 90")
 def position_range(spark, sf_dir):
-    return metric(placed(spark, sf_dir), "purchase", "f64", istart=20, istop=90)
+    return metric(placed(spark, sf_dir, name="purchase"), "purchase", "f64", istart=20, istop=90)
 
 
 @_query(f"{_PURCHASE} select pos, step, value from m where value >= 10.0 and value <= 60.0")
 def value_range(spark, sf_dir):
-    return metric(placed(spark, sf_dir), "purchase", "f64", vstart=10.0, vstop=60.0)
+    return metric(placed(spark, sf_dir, name="purchase"), "purchase", "f64", vstart=10.0, vstop=60.0)
 
 
 @_query(f"{_PURCHASE} select pos, step, cast(value as float) as value from m where cast(value as float) >= cast(9.7 as float) and cast(value as float) <= cast(50.3 as float)")
 def value_range_f32(spark, sf_dir):
-    return metric(placed(spark, sf_dir, "f32"), "purchase", "f32", vstart=9.7, vstop=50.3)
+    return metric(placed(spark, sf_dir, "f32", "purchase"), "purchase", "f32", vstart=9.7, vstop=50.3)
 
 
 @_query("select o_orderkey as pos, o_orderkey as step, o_custkey as value from orders where o_custkey >= 10.5 and o_custkey <= 90")
@@ -119,12 +121,12 @@ def value_range_integer(spark, sf_dir):
 
 @_query(f"{_PURCHASE} select pos, step, value from m order by pos limit 1 offset 2")
 def pick_third(spark, sf_dir):
-    return pick(metric(placed(spark, sf_dir), "purchase", "f64"), 2)
+    return pick(metric(placed(spark, sf_dir, name="purchase"), "purchase", "f64"), 2)
 
 
 @_query(f"{_PURCHASE} select pos, step, value from m where step <= 800 order by pos desc limit 1")
 def pick_last(spark, sf_dir):
-    return pick(metric(placed(spark, sf_dir), "purchase", "f64", stop=800), -1)
+    return pick(metric(placed(spark, sf_dir, name="purchase"), "purchase", "f64", stop=800), -1)
 
 
 @_query("select distinct 'events' as run, event_type as metric from events union select 'events', m from (values ('value'), ('walltime'), ('props')) t(m)")
@@ -340,8 +342,8 @@ def align_as_of(spark, sf_dir):
     both = events(spark, sf_dir).where(F.col("metric").isin("view", "purchase"))
     ranged = P.step_ranges(both, ["run"], "step", 100_000)
     seen = F.when(F.col("metric") == "view", F.col("step"))
-    inside = F.max(seen).over(Window.partitionBy("run", "__range").orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
-    ends = ranged.groupBy("run", "__range").agg(F.max(seen).alias("end"))
-    before = ends.select(F.col("__range").alias("g"), F.max("end").over(Window.partitionBy("run").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
-    joined = ranged.withColumn("here", inside).join(before, F.col("__range") == F.col("g"))
+    ends = ranged.groupBy("__keys", "__range").agg(F.max(seen).alias("end"))
+    before = ends.select("__keys", "__range", F.max("end").over(Window.partitionBy("__keys").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    here = F.max(seen).over(Window.partitionBy("__keys", "__range").orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
+    joined = P.with_range(ranged, before).withColumn("here", here)
     return joined.where("metric = 'purchase'").select("step", F.col("num").alias("value"), F.coalesce("here", "before").alias("other_step"))
