@@ -24,7 +24,7 @@ from runweave.llm.text import U64, shingles, utf8, word_hashes, words
 #: Words of a shingle and hashes of a fingerprint.
 WIDTH, K = 5, 128
 #: Texts that are hashed at once have so many bytes at most, unless one is longer.
-BLOCK = 2 << 20
+BLOCK = 1 << 19
 #: Rows of the sample, for each partition, from which the ranges of ids are taken.
 SAMPLE = 64
 

@@ -26,7 +26,7 @@ DIMS, ORDERS, TRAIN_DOCS = 1 << 16, (1, 2, 3, 4), 20_000
 MAX_MODEL_BYTES = 256 << 20
 UNDETERMINED = "und"
 #: Bytes of text whose n-grams are held at once, unless one text is longer.
-BLOCK = 1 << 18
+BLOCK = 1 << 16
 
 
 @lru_cache(1)

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes that a block of documents has at most, unless one document is longer.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 U64 = np.uint64
 _IS_WORD = np.ones(256, dtype=bool)
@@ -69,8 +69,9 @@ def give_memory_back() -> None:
     pa.set_memory_pool(pa.system_memory_pool())
     mallopt = getattr(ctypes.CDLL(None), "mallopt", None)  # glibc's; elsewhere nothing is set
     if mallopt is not None:
-        mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
-        mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+        # smaller arrays are reused: to map each of them anew costs more than to compute it
+        mallopt(-3, 16 << 20)  # M_MMAP_THRESHOLD
+        mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
