@@ -126,8 +126,7 @@ def _repeats(occurrences: DataFrame, hashes: int, n: int) -> DataFrame:
         out = rows[repeated[run_of] & (rows[:, -1] & 3 == _SINGLE)]
         yield pa.RecordBatch.from_pydict({"h": pa.array(out[:, -2]), "place": pa.array(out[:, -1] >> 2)})
 
-    met = occurrences.repartition(n, *(f"hash{i}" for i in range(hashes))) if hashes == 1 else occurrences.repartition(n, "hash0")
-    return met.mapInArrow(run, "h long, place long").groupBy("h").agg(F.collect_list("place").alias("places"))
+    return occurrences.repartition(n, "hash0").mapInArrow(run, "h long, place long").groupBy("h").agg(F.collect_list("place").alias("places"))
 
 
 def _summary(texts: DataFrame) -> DataFrame:
@@ -242,6 +241,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     light = materialize(_summary(texts), "substrings-texts")
     total = light.agg(F.sum("n_words")).first()[0] or 0
     n = max(partitions(spark), total * len(cover) // period // PER_TASK)
+    n_windows = max(partitions(spark), total // PER_TASK)  # as if all windows were near a repeated anchor
     anchors = materialize(_repeats(_anchors(texts, window, period, cover), 1, n), "substrings-anchors")
     shared = spark.sparkContext.broadcast(bitmap(anchors.select("h"), anchors.count()))
 
@@ -255,7 +255,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
 
     # each text once for each task that has it
     candidates = texts.select("h", "text").mapInArrow(wanted, "h long, text string")
-    repeats = _repeats(_windows(candidates.join(anchors, "h"), window, period), 2, n)
+    repeats = _repeats(_windows(candidates.join(anchors, "h"), window, period), 2, n_windows)
     kept = _kept(candidates.join(repeats, "h"), window).dropDuplicates(["h"])
     copies = light.groupBy("h").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     whole = F.col("copies").isNotNull() & (F.col("n_words") >= window)
