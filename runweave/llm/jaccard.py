@@ -154,22 +154,23 @@ def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, p
                 keep.append(100 * overlap >= percent * (len(one) + len(two) - overlap))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    with_b = pairs.join(sets.select(F.col("cid").alias("b"), F.col("members").alias("y")), "b")
-    both = with_b.join(sets.select(F.col("cid").alias("a"), F.col("members").alias("x")), "a")
+    # merged at every size: to broadcast the pairs of a small input only makes a large one behave otherwise
+    with_b = pairs.hint("merge").join(sets.select(F.col("cid").alias("b"), F.col("members").alias("y")), "b")
+    both = with_b.hint("merge").join(sets.select(F.col("cid").alias("a"), F.col("members").alias("x")), "a")
     found = materialize(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "jaccard-links")
     discard(sets)
     return found
 
 
-def _alike(percent: int) -> Column:
-    """Whether entries 1 and 2 of a column are of different components, and their classes may link.
-
-    Their sizes must allow it, and either must show enough columns that any
-    other class shows, `shared`.
-    """
+def _may_link(percent: int) -> Column:
+    """Whether classes of sizes n1 and n2 that have `shared1` and `shared2` columns in common with any others may link."""
     small, large = F.least("n1", "n2"), F.greatest("n1", "n2")
-    sizes = F.lit(100) * small >= F.lit(percent) * large
-    return (F.col("component1") != F.col("component2")) & sizes & (F.least("shared1", "shared2") >= _least_shared(percent))
+    return (F.lit(100) * small >= F.lit(percent) * large) & (F.least("shared1", "shared2") >= _least_shared(percent))
+
+
+def _alike(percent: int) -> Column:
+    """Whether entries 1 and 2 of a column are of different components, and their classes may link."""
+    return (F.col("component1") != F.col("component2")) & _may_link(percent)
 
 
 def _first_shared(percent: int) -> Column:
@@ -210,11 +211,10 @@ def _star(known: DataFrame, turn: int, percent: int) -> DataFrame:
     return chosen.select(F.least("cid1", "cid2").alias("a"), F.greatest("cid1", "cid2").alias("b")).distinct()
 
 
-def _open(entries: DataFrame, label: DataFrame) -> DataFrame:
-    """The entries of columns that show several components, with their component."""
-    known = entries.join(label.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    mixed = known.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    return materialize(known.join(mixed, "token").select("token", "cid", "n", "pos", "shared", "component"), "jaccard-open")
+def _labelled(entries: DataFrame, label: DataFrame) -> DataFrame:
+    """The entries with the component of their class."""
+    known = entries.join(label.select(F.col("node").alias("cid"), "component").hint("merge"), "cid", "left")
+    return materialize(known.withColumn("component", F.coalesce("component", "cid")), "jaccard-open")
 
 
 def join_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -242,7 +242,7 @@ def join_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         found = _linked(docs, classes, tried, width, percent)
         links.append(found)
         label = components(reduce(DataFrame.unionAll, links), "jaccard-components")
-        known = _open(entries, label)
+        known = _labelled(entries, label)
         if turn % 2 and found.count() * STAR_STOP <= tried.count():  # both placements of the bands were tried
             break
     rest = _side(known, 1, "token").join(_side(known, 2, "token"), "token").where(F.col("cid1") < F.col("cid2")).where(_alike(percent) & _first_shared(percent))
