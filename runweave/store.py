@@ -95,8 +95,9 @@ class RowWriter:
             self._store.append_log(self.run, self._lines)
             self._lines = []
 
-    def set_config(self, config: dict) -> None:
-        self._store.describe(self.run, config=config)
+    def set_config(self, config: dict | str) -> None:
+        """Replace the run's config by a dict, or by the JSON file at a path, empty if there is none."""
+        self._store.describe(self.run, config=_config(config))
 
     def finish(self, optimize: bool = True) -> None:
         """Compact everything and describe the run; a run without values is left as it is."""
@@ -131,7 +132,7 @@ class RunStore:
         now = datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
         replace_text(self._file(run), json.dumps({**self.described(run), **entries, "when_exported": now}))
 
-    def writer(self, run: str, step: int = 0, flush_rows: int = 100, config: dict | None = None, resume_finished: bool = False, discard_all: bool = False) -> RowWriter:
+    def writer(self, run: str, step: int = 0, flush_rows: int = 100, config: dict | str | None = None, resume_finished: bool = False, discard_all: bool = False) -> RowWriter:
         """Log a run, or go on with one from `step`: what it has from there on is deleted.
 
         To go on at step 0 deletes all, so `discard_all` must say so; a finished
@@ -142,7 +143,7 @@ class RunStore:
             raise RuntimeError(f"{run} is finished; pass resume_finished=True to go on with it")
         if known:
             self.truncate(run, step, allow_empty=discard_all)
-        self.describe(run, config=config if config is not None else known.get("config", {}), finished=False)
+        self.describe(run, config=_config(config) if config is not None else known.get("config", {}), finished=False)
         return RowWriter(self, run, step, flush_rows)
 
     def append_log(self, run: str, lines: list[str]) -> None:
@@ -281,5 +282,11 @@ class RunStore:
         return rows_per_metric(points).agg(F.max("n")).first()[0] or 0
 
 
+def _config(config: dict | str) -> dict:
+    if isinstance(config, dict):
+        return config
+    return json.loads(Path(config).read_text()) if Path(config).exists() else {}
+
+
 def _plain(value) -> dict:
     return {k: (int(v) if k == "ival" else v) for k, v in value.asDict().items() if v is not None}

@@ -213,6 +213,11 @@ def test_store(tmp_path, spark):
     again.end_step()
     again.flush()
     assert sorted((r["step"], r["value"]) for r in store.metric("a/b", "loss").collect()) == [(0, 0.0), (1, 1.0), (2, 2.0), (3, 7.0)]
+    (tmp_path / "c.json").write_text('{"lr": 2}')
+    again.set_config(str(tmp_path / "c.json"))
+    assert store.config("a/b") == {"lr": 2}
+    again.set_config(str(tmp_path / "none.json"))
+    assert store.config("a/b") == {} and store.when_exported("a/b").endswith("Z")
     store.export("a/b", str(tmp_path / f"x.{NAME}"))
     assert read(tmp_path / f"x.{NAME}", "loss")[0] == [0, 1, 2, 3] and store.runs() == ["a/b"]
 
