@@ -26,6 +26,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return lowered.unionAll(low.select("u", F.col("m").alias("v")))
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node is either a centre or below exactly one."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionAll(edges.select(F.col("v").alias("x"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+    odd = ends.groupBy("x").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where(F.col("below") + F.col("above") > 1)
+    return odd.isEmpty()
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) for every node of the edges, two columns; component is the smallest node reachable.
 
@@ -35,11 +42,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """
     edges = edges.toDF("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = materialize(edges, name)
-    before = None
-    while True:
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before or not now[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        before, old = now, edges
-        edges = materialize(_small_star(_large_star(edges)).distinct(), name)
+    while not _stars(edges):
+        old, edges = edges, materialize(_small_star(_large_star(edges)).distinct(), name)
         discard(old)
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

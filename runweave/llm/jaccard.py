@@ -39,8 +39,10 @@ WIDTH, PERCENT = 3, 90
 STAR_ROUNDS, STAR_TRIES = 6, 3
 #: Pairs are tried there if they share this part of the columns that links need, as the columns have other chosen members too.
 STAR_SHARE = 4
-#: They end when fewer than one in so many pairs tried is a link; the last product finds all that is left.
+#: They end when at most one in so many pairs tried is a link; the last product finds all that is left.
 STAR_STOP = 20
+#: Or when the last product has so many products for each entry at most.
+FEW_PAIRS = 64
 #: Counters of n-gram frequency, which only order the columns, and the slots in one row of them.
 SLOTS, SLOT_ROW = 1 << 20, 1 << 13
 _SIGN = 1 << 63
@@ -201,9 +203,10 @@ def _star(known: DataFrame, turn: int, percent: int) -> DataFrame:
     At first that is the member with the fewest rarer n-grams, as it differs
     least from the others and links with most of them; later a random one.
     """
-    drawn = F.xxhash64("token", "cid", F.lit(turn)) if turn > 1 else F.col("pos") / F.col("n")
-    band = F.floor(F.log("n") / F.lit(math.log(200 / (100 + percent))) + F.lit(0.5 * (turn % 2)))
-    rows = known.withColumn("band", band)
+    drawn = F.xxhash64("token", "cid", F.lit(turn)) if turn else F.col("pos") / F.col("n")
+    # two placements of the bands, so that close sizes are in one band of either
+    place = F.log("n") / F.lit(math.log(200 / (100 + percent)))
+    rows = known.withColumn("band", F.explode(F.array(2 * F.floor(place), 2 * F.floor(place + 0.5) + 1)))
     heads = rows.groupBy("token", "band").agg(F.min(F.struct(drawn.alias("drawn"), "cid", "n", "pos", "shared", "component")).alias("head")).select("token", "band", "head.*")
     met = _side(rows, 1, "token", "band").join(_side(heads, 2, "token", "band"), ["token", "band"]).where(_alike(percent)).groupBy("cid1", "cid2", "n1", "n2").agg(F.count(F.lit(1)).alias("times"))
     best = Window.partitionBy("cid1").orderBy(F.desc("times"), F.xxhash64("cid2", F.lit(turn)))
@@ -217,6 +220,13 @@ def _labelled(entries: DataFrame, label: DataFrame) -> DataFrame:
     return materialize(known.withColumn("component", F.coalesce("component", "cid")), "jaccard-open")
 
 
+def _few_pairs(known: DataFrame) -> bool:
+    """Whether the columns have few pairs of entries of different components, for the number of entries."""
+    sizes = known.groupBy("token", "component").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+    got = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("pairs"), F.sum("n").alias("entries")).first()
+    return (got["pairs"] or 0) <= FEW_PAIRS * (got["entries"] or 0)
+
+
 def join_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of (doc_id, text).
 
@@ -239,11 +249,10 @@ def join_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     known, links = entries.withColumn("component", F.col("cid")), []
     for turn in range(STAR_ROUNDS):
         tried = materialize(_star(known, turn, percent), "jaccard-star")
-        found = _linked(docs, classes, tried, width, percent)
-        links.append(found)
+        links.append(_linked(docs, classes, tried, width, percent))
         label = components(reduce(DataFrame.unionAll, links), "jaccard-components")
         known = _labelled(entries, label)
-        if turn % 2 and found.count() * STAR_STOP <= tried.count():  # both placements of the bands were tried
+        if links[-1].count() * STAR_STOP <= tried.count() or _few_pairs(known):
             break
     rest = _side(known, 1, "token").join(_side(known, 2, "token"), "token").where(F.col("cid1") < F.col("cid2")).where(_alike(percent) & _first_shared(percent))
     rest = materialize(rest.select("cid1", "cid2", "n1", "n2").distinct(), "jaccard-candidates")
