@@ -12,16 +12,19 @@ from pyspark.sql import functions as F
 from runweave.llm import jaccard, langid, mixing, packing, secrets
 from runweave.llm.common import materialize, table
 
-#: Columns of documents, and the probability below which a language is not accepted.
-COLUMNS, LEAST_SCORE = ("doc_id", "text", "lang", "source", "n_chars"), 0.5
+#: Columns of documents.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; those without letters, or of an unsure language, go."""
+    """Documents that have a language; those without a letter go.
+
+    A short text may be unsure and clean, so it stays whatever its score.
+    """
     docs = docs.select(*COLUMNS)
     model = langid.train(docs.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
     found = langid.predict(docs, model, list(COLUMNS))
-    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    return found.where(F.col("lang_pred") != langid.UNDETERMINED).select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
