@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from runweave.llm import jaccard, langid, mixing, packing, secrets
 from runweave.llm.common import materialize, table
 
+#: Words of a shingle and the least similarity, in per cent, of near duplicates; op9's own are stricter.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
 #: Columns of documents.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -33,7 +35,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Documents without id stay, unless linked with one that has an id.
     """
     docs = docs.select(*COLUMNS)
-    first = jaccard.join_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
+    first = jaccard.join_components(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
     kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi")
     # rows without id are told apart by their text
     key = F.coalesce(F.col("doc_id"), F.xxhash64("text"))

@@ -51,3 +51,15 @@ def test_empty_and_null_rows(spark, nothing, tmp_path):
     docs = spark.createDataFrame([(None, "some words here that are read", None, None, None), (None, "some words here that are read", None, None, None), (1, None, None, None, None)], nothing.schema)
     kept = corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()
     assert sorted((r["doc_id"] is None, r["text"] is None) for r in kept) == [(False, True), (True, False)]
+
+
+def test_near_copies_below_op9s_similarity_go(spark, nothing):
+    import random
+
+    rng = random.Random(8)
+    texts = [sentence(rng, 104, 4000).split() for _ in range(6)]
+    # a changed word about every 50, and texts longer by 15 %; 0.81 to 0.87 at five words, below 0.9 at three
+    changed = [[f"new{i}" if i in (27, 78) else w for i, w in enumerate(x)] for x in texts[:3]]
+    longer = [x + sentence(rng, 15, 4000).split() for x in texts[3:]]
+    docs = spark.createDataFrame([(i, " ".join(x), "en", "s", 0) for i, x in enumerate([*texts, *changed, *longer])], nothing.schema)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()) == list(range(6))
