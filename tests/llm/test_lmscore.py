@@ -61,3 +61,21 @@ def test_what_reads_like_the_target_scores_lower(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r["doc_id"]: r["score"] for r in lmscore.score(frame, spark.createDataFrame([(i,) for i in range(0, 30)], "doc_id long"), VOCABULARY, BIGRAMS).collect()}
     assert max(found[i] for i in range(30, 40)) < min(found[i] for i in range(100, 140))
+
+
+def test_counts_grow_with_the_corpus(spark, monkeypatch):
+    """More words than any fixed number of slots, over many blocks and ranges: an unseen word has one loss, whatever the others are."""
+    monkeypatch.setattr(lmscore, "TEXT_BYTES", 1 << 16)
+    monkeypatch.setattr(lmscore, "RANGE_WORDS", 1 << 15)
+    rows = [(i, " ".join(f"w{i * 2000 + j}" for j in range(2000))) for i in range(300)]
+    found = lmscore.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), spark.createDataFrame([(i,) for i in range(0, 300, 2)], "doc_id long")).collect()
+    assert len(found) == 300
+    vocabulary = 600_000
+    for r in found:
+        # every word is only in its own text, so both models know none of them; only a text's start has a context
+        mine, theirs = 300_000 - 2000 + lmscore.FLOOR * vocabulary, 300_000 + lmscore.FLOOR * vocabulary
+        plain = {True: lmscore.FLOOR / mine, False: lmscore.FLOOR / theirs}
+        start = {True: 149, False: 150}
+        want = {k: (-2000 * math.log(plain[k]) - math.log(lmscore.BACKOFF) + math.log(start[k] + lmscore.BACKOFF)) / 2000 for k in plain}
+        target = r["doc_id"] % 2 == 0
+        assert math.isclose(r["target_loss"], want[target], rel_tol=1e-9) and math.isclose(r["background_loss"], want[not target], rel_tol=1e-9)
