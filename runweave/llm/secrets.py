@@ -58,6 +58,8 @@ class Layer:
     start: np.ndarray | None = None
     end: np.ndarray | None = None
     whole: tuple[int, int] | None = None
+    #: Whether base64 is sought in it; not in what doesn't read as text.
+    guess: bool = True
 
     def span(self, a: int, b: int) -> tuple[int, int]:
         """Where characters a to b, at least one, came from."""
@@ -88,13 +90,18 @@ def find(text: str, hex_runs: bool = True) -> list[tuple[int, int, int]]:
     return out
 
 
-def _readable(data: bytes) -> str | None:
-    """The bytes as text, if they are UTF-8 of printable characters and white space."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and (text.isprintable() or all(c.isprintable() or c in "\t\n\r\f\v" for c in text)) else None
+def _texts(data: bytes) -> list[tuple[str, np.ndarray | None, bool]]:
+    """The bytes as text, whatever they are: each reading, the byte behind each character (None: one each), and whether it is mostly printable.
+
+    Bytes that aren't UTF-8 stay as surrogates. Where many bytes are 0, every
+    other byte is read as well, which gives the ASCII of UTF-16.
+    """
+    text = data.decode("utf-8", "surrogateescape")
+    ends = None if text.isascii() else np.cumsum(np.fromiter((len(c.encode("utf-8", "surrogateescape")) for c in text), dtype=np.int64, count=len(text)))
+    out = [(text, ends)]
+    if data.count(0) * 4 >= len(data) > 0:
+        out += [(data[k::2].decode("latin-1"), np.arange(k, len(data), 2) + 1) for k in (0, 1)]
+    return [(t, e, t.isprintable() or 10 * sum(c.isprintable() or c.isspace() for c in t) >= 9 * len(t)) for t, e in out if t]
 
 
 def _decompress(data: bytes) -> tuple[bytes, bool] | None:
@@ -120,51 +127,50 @@ def _decompress(data: bytes) -> tuple[bytes, bool] | None:
         return None
 
 
-def _from_bytes(data: bytes, whole: tuple[int, int]) -> tuple[Layer | None, bool]:
-    """The layer inside compressed bytes, through as many compressions as there are."""
-    cut, seen = False, set()
+def _from_bytes(data: bytes, whole: tuple[int, int]) -> tuple[list[Layer], bool]:
+    """The layers inside compressed bytes, through as many compressions as there are."""
+    cut, seen, out = False, set(), []
     while (got := _decompress(data)) is not None:
         data, more = got
         cut |= more
         key = hashlib.sha256(data).digest()
         if key in seen:
-            return None, cut
+            break
         seen.add(key)
-        text = _readable(data) if not more else data.decode("utf-8", "replace")
-        if text:
-            return Layer(text, whole=whole), cut
-    return None, cut
+        out = [Layer(text, whole=whole, guess=guess) for text, _, guess in _texts(data)]
+    return out, cut
 
 
-def _base64(layer: Layer, a: int, b: int) -> tuple[Layer | None, bool]:
-    """The layer in the base64 run from a to b (without padding) of a layer."""
+def _base64(layer: Layer, a: int, b: int) -> tuple[list[Layer], bool]:
+    """The layers in the base64 run from a to b (without padding) of a layer."""
     run = layer.text[a:b]
     run = run[: len(run) - (len(run) % 4 == 1)]
     try:
         data = binascii.a2b_base64(run.replace("-", "+").replace("_", "/") + "==")
     except (binascii.Error, ValueError):
-        return None, False
-    text = _readable(data)
-    if text is None:
-        return _from_bytes(data, layer.span(a, a + len(run)))
+        return [], False
+    inner, cut = _from_bytes(data, layer.span(a, a + len(run)))
+    if inner:
+        return inner, cut
     start, end = layer.sources(a, a + len(run))
-    widths = np.fromiter((len(c.encode()) for c in text), dtype=np.int64, count=len(text)) if not text.isascii() else np.ones(len(text), dtype=np.int64)
-    last = np.cumsum(widths)
-    first = last - widths  # bytes [first, last) hold the character; byte i is in digits i * 8 // 6 to (i * 8 + 7) // 6
-    return Layer(text, start[first * 8 // 6], end[np.minimum((last * 8 - 1) // 6, len(run) - 1)]), False
+    out = []
+    for text, last, guess in _texts(data):
+        last = np.arange(1, len(text) + 1) if last is None else last
+        first = np.concatenate(([0], last[:-1]))
+        # bytes [first, last) hold the character; byte i is in digits i * 8 // 6 to (i * 8 + 7) // 6
+        out.append(Layer(text, start[first * 8 // 6], end[np.minimum((last * 8 - 1) // 6, len(run) - 1)], guess=guess))
+    return out, cut
 
 
-def _in_place(layer: Layer, pattern: re.Pattern, decode) -> tuple[Layer | None, list[Layer], bool]:
+def _in_place(layer: Layer, mark: str, pattern: re.Pattern, decode) -> tuple[Layer | None, list[Layer], bool]:
     """The layer with every match decoded, and layers of matches that hold compressed bytes."""
     parts, starts, ends, inner, cut, at = [], [], [], [], False, 0
     for m in pattern.finditer(layer.text):
         pieces = decode(m[0])
-        if isinstance(pieces, bytes):
-            child, more = _from_bytes(pieces, layer.span(m.start(), m.end()))
+        if mark == "%":
+            found, more = _from_bytes(bytes.fromhex(m[0].replace("%", "")), layer.span(m.start(), m.end()))
             cut |= more
-            if child:
-                inner.append(child)
-            continue
+            inner += found
         s, e = layer.sources(at, m.start())
         parts.append(layer.text[at : m.start()])
         starts.append(s)
@@ -182,15 +188,11 @@ def _in_place(layer: Layer, pattern: re.Pattern, decode) -> tuple[Layer | None,
     return Layer(text, np.concatenate([*starts, s]), np.concatenate([*ends, e])), inner, cut
 
 
-def _percent(run: str) -> list[tuple[str, int, int]] | bytes:
-    data = bytes.fromhex(run.replace("%", ""))
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return data
+def _percent(run: str) -> list[tuple[str, int, int]]:
+    text = bytes.fromhex(run.replace("%", "")).decode("utf-8", "surrogateescape")
     out, at = [], 0
     for char in text:
-        n = 3 * len(char.encode())
+        n = 3 * len(char.encode("utf-8", "surrogateescape"))
         out.append((char, at, at + n))
         at += n
     return out
@@ -214,16 +216,17 @@ def _children(layer: Layer, base64_runs: list[tuple[int, int]] | None) -> tuple[
     out, cut = [], False
     for mark, pattern, decode in (("%", _PERCENT, _percent), ("\\", _ESCAPE, _escapes)):
         if mark in layer.text:
-            child, inner, more = _in_place(layer, pattern, decode)
+            child, inner, more = _in_place(layer, mark, pattern, decode)
             cut |= more
             out += inner + ([child] if child else [])
+    if not layer.guess:
+        return out, cut
     if base64_runs is None:
         base64_runs = [(m.start(), m.start() + len(m[0].rstrip("="))) for m in _BASE64.finditer(layer.text)]
     for a, b in base64_runs:
-        child, more = _base64(layer, a, b)
+        children, more = _base64(layer, a, b)
         cut |= more
-        if child:
-            out.append(child)
+        out += children
     return out, cut
 
 

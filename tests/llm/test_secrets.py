@@ -93,3 +93,13 @@ def test_redaction(spark, documents, nothing):
     frame = spark.createDataFrame([(1, "a password=abcdefgh b", "k", 5), (2, None, "k", None), (3, "clean", None, 5)], "doc_id long, text string, source string, n_chars long")
     assert sorted(tuple(r) for r in secrets.redact_secrets(frame).collect()) == [(1, "a [assign] b", "k", 12), (2, None, "k", 0), (3, "clean", None, 5)]
     assert secrets.redact_secrets(nothing).collect() == [] and secrets.redact("ab", [(0, 2, 2), (0, 0, 1)]) == "[hex]"
+
+
+def test_layers_that_do_not_read_as_text():
+    secret = "password=hunter2hunter2"
+    plain = [f"\ufeff{secret}".encode(), f"prix\u00a0: {secret}".encode(), f"\x1b[31m{secret}\x1b[0m".encode(), f"\0\0{secret}\0".encode(), secret.encode("utf-16"), f"é {secret}".encode("latin-1"), bytes(range(128, 200)) + secret.encode()]
+    for data in plain:
+        hidden = [base64.b64encode(data).decode(), base64.b64encode(gzip.compress(data)).decode(), "".join(f"%{b:02X}" for b in data)]
+        for text in hidden[: 2 if b"p\0a" in data else 3]:
+            _, spans, _, cut = secrets.scan(f"x {text} y")
+            assert spans and not cut and "assign" in secrets.redact(f"x {text} y", spans), data
