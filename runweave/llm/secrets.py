@@ -41,6 +41,11 @@ _ONE_ESCAPE = re.compile(r"\\(?:u\{([0-9A-Fa-f]+)\}|u([0-9A-Fa-f]{4})|U([0-9A-Fa
 #: Shortest base64 run that is tried; 16 characters hold the 12 bytes that the shortest assignment needs.
 MIN_BASE64 = 16
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_BASE64)
+#: A run over line ends, as base64 is wrapped.
+_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{%d,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)+" % MIN_BASE64)
+_PART = re.compile(r"[^/_-]+")
+#: Starts of compressed streams that are sought behind what precedes them in a run.
+_MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY|\xfd7zXZ\x00|\x28\xb5\x2f\xfd", re.DOTALL)
 #: A compressed layer is read up to this many bytes; a longer one is searched so far and the row marked `truncated`.
 MAX_LAYER_BYTES = 64 << 20
 
@@ -141,24 +146,57 @@ def _from_bytes(data: bytes, whole: tuple[int, int]) -> tuple[list[Layer], bool]
     return out, cut
 
 
-def _base64(layer: Layer, a: int, b: int) -> tuple[list[Layer], bool]:
-    """The layers in the base64 run from a to b (without padding) of a layer."""
-    run = layer.text[a:b]
+def _base64_at(layer: Layer, at: np.ndarray, run: str) -> tuple[list[Layer], bool, bool]:
+    """The layers in base64 digits, those at places `at` of a layer; whether one was cut; whether they read as a text or a stream from the start."""
     run = run[: len(run) - (len(run) % 4 == 1)]
     try:
         data = binascii.a2b_base64(run.replace("-", "+").replace("_", "/") + "==")
     except (binascii.Error, ValueError):
-        return [], False
-    inner, cut = _from_bytes(data, layer.span(a, a + len(run)))
-    if inner:
-        return inner, cut
-    start, end = layer.sources(a, a + len(run))
-    out = []
-    for text, last, guess in _texts(data):
+        return [], False, False
+    whole = layer.span(int(at[0]), int(at[len(run) - 1]) + 1)
+    out, cut = _from_bytes(data, whole)
+    if out:
+        return out, cut, True
+    for m in _MAGIC.finditer(data):
+        inner, more = _from_bytes(data[m.start() :], whole)
+        out += inner
+        cut |= more
+    at = at[: len(run)]
+    if layer.whole is not None:
+        start, end = np.full(len(at), layer.whole[0]), np.full(len(at), layer.whole[1])
+    elif layer.start is None:
+        start, end = at, at + 1
+    else:
+        start, end = layer.start[at], layer.end[at]
+    found = _texts(data)
+    for text, last, guess in found:
         last = np.arange(1, len(text) + 1) if last is None else last
         first = np.concatenate(([0], last[:-1]))
         # bytes [first, last) hold the character; byte i is in digits i * 8 // 6 to (i * 8 + 7) // 6
         out.append(Layer(text, start[first * 8 // 6], end[np.minimum((last * 8 - 1) // 6, len(run) - 1)], guess=guess))
+    return out, cut, bool(found) and found[0][2]
+
+
+def _base64(layer: Layer, a: int, b: int) -> tuple[list[Layer], bool]:
+    """The layers in the base64 run from a to b (without padding) of a layer, which may go over line ends.
+
+    If it doesn't read from its first digit, what precedes may be no base64: then
+    the three other phases are tried, and the parts between / - and _.
+    """
+    text = layer.text[a:b]
+    at = np.arange(a, b)
+    if "\n" in text:
+        at = at[np.array([not c.isspace() for c in text])]
+        text = "".join(text.split())
+    out, cut, reads = _base64_at(layer, at, text)
+    if reads:
+        return out, cut
+    places = [(k, len(text)) for k in (1, 2, 3)] + [m.span() for m in _PART.finditer(text) if m.end() - m.start() < len(text)]
+    for x, y in places:
+        if y - x >= MIN_BASE64 - 4:
+            more, was_cut, _ = _base64_at(layer, at[x:y], text[x:y])
+            out += more
+            cut |= was_cut
     return out, cut
 
 
@@ -223,6 +261,8 @@ def _children(layer: Layer, base64_runs: list[tuple[int, int]] | None) -> tuple[
         return out, cut
     if base64_runs is None:
         base64_runs = [(m.start(), m.start() + len(m[0].rstrip("="))) for m in _BASE64.finditer(layer.text)]
+    if "\n" in layer.text:
+        base64_runs = base64_runs + [m.span() for m in _WRAPPED.finditer(layer.text)]
     for a, b in base64_runs:
         children, more = _base64(layer, a, b)
         cut |= more

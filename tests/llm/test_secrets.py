@@ -103,3 +103,22 @@ def test_layers_that_do_not_read_as_text():
         for text in hidden[: 2 if b"p\0a" in data else 3]:
             _, spans, _, cut = secrets.scan(f"x {text} y")
             assert spans and not cut and "assign" in secrets.redact(f"x {text} y", spans), data
+
+
+def test_base64_over_lines_and_behind_other_characters():
+    rng = random.Random(3)
+    noise = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz \n") for _ in range(400))
+    secret = f"{noise} password=hunter2hunter2 {noise}".encode()
+    for data in (secret, gzip.compress(secret), bz2.compress(secret), lzma.compress(secret), zstandard.compress(secret)):
+        for end in ("\n", "\r\n"):
+            run = base64.b64encode(data).decode()
+            lines = end.join(run[i : i + 76] for i in range(0, len(run), 76))
+            for before in ("", "/path/", "id_", "data-", "x", "xy"):
+                for hidden in (before + run, before + lines):
+                    text = f"see {hidden} end"
+                    _, spans, _, _ = secrets.scan(text)
+                    assert any(k == 0 and 4 <= a and b <= 4 + len(hidden) for a, k, b in spans), (before, end, data[:4])
+    pad = base64.b64encode(b"." * 40 + b" token=abcdefgh ").decode()  # over the line end
+    text = pad[:64] + "\n" + pad[64:]
+    (a, _, b), = secrets.scan(text)[1]
+    assert a < 64 < b and "\n" in text[a:b]
