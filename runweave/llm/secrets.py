@@ -20,6 +20,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +47,8 @@ _WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{%d,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)+"
 _PART = re.compile(r"[^/_-]+")
 #: Starts of compressed streams that are sought behind what precedes them in a run.
 _MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY|\xfd7zXZ\x00|\x28\xb5\x2f\xfd", re.DOTALL)
-#: A compressed layer is read up to this many bytes; a longer one is searched so far and the row marked `truncated`.
-MAX_LAYER_BYTES = 64 << 20
+#: A compressed layer that is longer is searched in windows of this many bytes that overlap, and the row marked `truncated`.
+MAX_LAYER_BYTES, OVERLAP = 64 << 20, 1 << 16
 
 _IN_BASE64 = np.zeros(256, dtype=bool)
 _IN_BASE64[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")] = True
@@ -65,6 +66,8 @@ class Layer:
     whole: tuple[int, int] | None = None
     #: Whether base64 is sought in it; not in what doesn't read as text.
     guess: bool = True
+    #: Further windows of the same stream.
+    rest: Iterator[Layer] | None = None
 
     def span(self, a: int, b: int) -> tuple[int, int]:
         """Where characters a to b, at least one, came from."""
@@ -109,41 +112,72 @@ def _texts(data: bytes) -> list[tuple[str, np.ndarray | None, bool]]:
     return [(t, e, t.isprintable() or 10 * sum(c.isprintable() or c.isspace() for c in t) >= 9 * len(t)) for t, e in out if t]
 
 
-def _decompress(data: bytes) -> tuple[bytes, bool] | None:
-    """What a compressed stream holds and whether it was cut; None if it is not one."""
+def _member(data: bytes):
+    """What decompresses the stream that the bytes begin with; None if there is none."""
+    if data[:4] == b"\x28\xb5\x2f\xfd":
+        return zstandard.ZstdDecompressor().decompressobj()
+    if data[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if data[:1] == b"\x78" and len(data) > 1 and (data[0] << 8 | data[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor() if data[:6] == b"\xfd7zXZ\x00" else None
+
+
+def _pieces(data: bytes) -> Iterator[bytes]:
+    """What compressed streams after each other hold, as far as they can be read, in pieces."""
     try:
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            reader = zstandard.ZstdDecompressor().stream_reader(data)
-            out = reader.read(MAX_LAYER_BYTES)
-            return out, len(out) == MAX_LAYER_BYTES
-        if data[:2] == b"\x1f\x8b":
-            d = zlib.decompressobj(31)
-        elif data[:1] == b"\x78" and len(data) > 1 and (data[0] << 8 | data[1]) % 31 == 0:
-            d = zlib.decompressobj()
-        elif data[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
-            d = lzma.LZMADecompressor()
-        else:
-            return None
-        out = d.decompress(data, MAX_LAYER_BYTES)
-        return out, len(out) == MAX_LAYER_BYTES
+        while (d := _member(data)) is not None:
+            if data[:1] == b"\x28":  # its output can't be bounded, so its input is
+                at = 0
+                while at < len(data) and not d.eof:
+                    yield d.decompress(data[at : at + 1024])
+                    at += 1024
+                data = d.unused_data + data[at:] if d.eof else b""
+                continue
+            while not d.eof:
+                out = d.decompress(data, MAX_LAYER_BYTES)
+                yield out
+                data = getattr(d, "unconsumed_tail", b"")
+                if not out and not data and not d.eof:
+                    return
+            data = d.unused_data.lstrip(b"\0")  # padding
     except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError):
-        return None
+        return
+
+
+def _windows(data: bytes) -> Iterator[bytes]:
+    """The same in windows of MAX_LAYER_BYTES at most, that overlap."""
+    held, fresh = b"", False
+    for piece in _pieces(data):
+        held += piece
+        fresh |= bool(piece)
+        while len(held) > MAX_LAYER_BYTES:
+            yield held[:MAX_LAYER_BYTES]
+            held = held[MAX_LAYER_BYTES - min(OVERLAP, MAX_LAYER_BYTES // 2) :]
+    if fresh:
+        yield held
 
 
 def _from_bytes(data: bytes, whole: tuple[int, int]) -> tuple[list[Layer], bool]:
-    """The layers inside compressed bytes, through as many compressions as there are."""
-    cut, seen, out = False, set(), []
-    while (got := _decompress(data)) is not None:
-        data, more = got
-        cut |= more
+    """The layers inside compressed bytes, through as many compressions as there are; whether they have more than one window.
+
+    What is compressed inside of several windows is not unwrapped further.
+    """
+    seen, out = set(), []
+    while True:
+        windows = _windows(data)
+        if (data := next(windows, None)) is None:
+            return out, False
         key = hashlib.sha256(data).digest()
         if key in seen:
-            break
+            return out, False
         seen.add(key)
         out = [Layer(text, whole=whole, guess=guess) for text, _, guess in _texts(data)]
-    return out, cut
+        if (second := next(windows, None)) is not None:
+            out[0].rest = (Layer(text, whole=whole, guess=guess) for window in chain([second], windows) for text, _, guess in _texts(window))
+            return out, True
 
 
 def _base64_at(layer: Layer, at: np.ndarray, run: str) -> tuple[list[Layer], bool, bool]:
@@ -285,6 +319,9 @@ def scan(text: str | None, hex_runs: bool = True, base64_runs: list[tuple[int, i
     layers = 0
     while work:
         layer = work.pop()
+        if layer.rest is not None and (following := next(layer.rest, None)) is not None:
+            following.rest = layer.rest
+            work.append(following)
         key = hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest() + repr(layer.span(0, len(layer.text))).encode() if layer.text else b""
         if not key or key in seen:
             continue
@@ -342,7 +379,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
     n_assign, n_access, n_hex and base_sha256 tell of the text itself, `spans`
     of all layers, `n_layers` counts decoded layers and `truncated` is true where
-    a compressed layer was longer than MAX_LAYER_BYTES. A null text is empty.
+    a compressed layer was longer than MAX_LAYER_BYTES and searched in windows. A null text is empty.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

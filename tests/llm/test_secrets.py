@@ -122,3 +122,16 @@ def test_base64_over_lines_and_behind_other_characters():
     text = pad[:64] + "\n" + pad[64:]
     (a, _, b), = secrets.scan(text)[1]
     assert a < 64 < b and "\n" in text[a:b]
+
+
+def test_streams_are_read_to_their_end(monkeypatch):
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress):
+        for after in (b"", b"junk"):
+            hidden = base64.b64encode(pack(b"first member, ") + pack(b"second password=hunter2hunter2") + after).decode()
+            _, spans, _, cut = secrets.scan(hidden)
+            assert spans and not cut, (pack, after)
+    monkeypatch.setattr(secrets, "MAX_LAYER_BYTES", 1000)
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress):
+        for at in (10, 985, 1490, 1990, 50_000):
+            _, spans, _, cut = secrets.scan(base64.b64encode(pack(b" " * at + b"token=abcdefgh" + b" " * 3000)).decode())
+            assert spans and cut, (pack, at)
