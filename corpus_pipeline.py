@@ -30,16 +30,17 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id; of repeated ids one row.
+    """Of each group of linked rows one: that with the smallest id, and of these that with the smallest key; rows without id come last.
 
-    Documents without id stay, unless linked with one that has an id.
+    A row's key is a hash of its id and text, so rows that repeat an id with
+    other texts are told apart, and rows that repeat both are one.
     """
-    docs = docs.select(*COLUMNS)
-    first = jaccard.join_components(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi")
-    # rows without id are told apart by their text
-    key = F.coalesce(F.col("doc_id"), F.xxhash64("text"))
-    return kept.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id", key).orderBy(F.xxhash64("text")))).where("turn = 1").select(*COLUMNS)
+    keyed = docs.select(*COLUMNS).withColumn("row_key", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull()))
+    linked = jaccard.join_components(keyed.select(F.col("row_key").alias("doc_id"), "text"), width=NEAR_WIDTH, percent=NEAR_PERCENT).select(F.col("doc_id").alias("row_key"), "component_id").distinct()
+    ids = keyed.select("row_key", "doc_id").distinct().join(linked, "row_key")
+    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")).alias("first")).select("first.row_key")
+    kept = keyed.join(first, "row_key", "left_semi")
+    return kept.withColumn("turn", F.row_number().over(Window.partitionBy("row_key").orderBy("source", "lang"))).where("turn = 1").select(*COLUMNS)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,3 +63,14 @@ def test_near_copies_below_op9s_similarity_go(spark, nothing):
     longer = [x + sentence(rng, 15, 4000).split() for x in texts[3:]]
     docs = spark.createDataFrame([(i, " ".join(x), "en", "s", 0) for i, x in enumerate([*texts, *changed, *longer])], nothing.schema)
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()) == list(range(6))
+
+
+def test_one_row_of_each_component_whatever_the_ids(spark, nothing):
+    import random
+
+    rng = random.Random(9)
+    a, b, c, d = (sentence(rng, 60, 4000) for _ in range(4))
+    # id 5 twice with unlinked texts, one of them a copy of id 1's; no id: a copy of id 1's, two copies of each other, one of its own
+    docs = spark.createDataFrame([(1, a, "en", "s", 0), (5, a, "en", "s", 0), (5, b, "en", "s", 0), (None, a, "en", "s", 0), (None, c, "en", "s", 0), (None, c + " more", "en", "s", 0), (None, d, "en", "s", 0)], nothing.schema)
+    kept = [(r["doc_id"], r["text"].removesuffix(" more")) for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()]
+    assert sorted(kept, key=repr) == sorted([(1, a), (5, b), (None, c), (None, d)], key=repr)
