@@ -15,8 +15,8 @@ from runweave.functions.types import JSON, KINDS, LAST_STEP
 
 SCHEMA = "run string, metric string, pos bigint, step bigint, dtype string, num double, ival decimal(20,0), json string"
 COLUMNS = ("run", "metric", "pos", "step", "dtype", "num", "ival", "json")
-#: Rows of one range of steps in expectation, where a metric is cut for ordering.
-RANGE_ROWS = 1_000_000
+#: Steps, and so rows at most, of one range where a metric is cut for ordering.
+RANGE_ROWS = 1 << 20
 
 
 def from_long(df: DataFrame, run: Column, metric: Column, step: Column, value: Column, dtype: str) -> DataFrame:
@@ -73,15 +73,13 @@ def typed_value(dtype: str) -> Column:
 def step_ranges(df: DataFrame, keys: list[str], by: str = "step", rows: int = RANGE_ROWS) -> DataFrame:
     """`df` with `__keys`, its keys as one value that nulls are equal in, and `__range`.
 
-    That numbers ranges of the integer column `by` with about `rows` rows,
-    ascending in each key. It lets a metric of any size be ordered in many tasks
-    instead of one.
+    That numbers ranges of `rows` values of the integer column `by`. As values
+    are distinct in a key, a range has at most so many rows, and a metric of any
+    size is ordered in many tasks instead of one. A key has as many ranges as
+    its largest value has multiples of `rows`: 4,096 for all of 32 bits. It is
+    told by the row alone, which needs no pass over the table.
     """
-    keyed = df.withColumn("__keys", F.struct(*keys))
-    size = keyed.groupBy(F.col("__keys").alias("__sized")).agg(F.min(by).alias("__low"), F.max(by).alias("__high"), F.count(F.lit(1)).alias("__count"))
-    width = F.greatest(F.lit(1), F.ceil((F.col("__high") - F.col("__low") + 1) * F.lit(float(rows)) / F.col("__count")))
-    joined = keyed.join(size, F.col("__keys") == F.col("__sized"))
-    return joined.withColumn("__range", F.floor((F.col(by) - F.col("__low")) / width)).drop("__sized", "__low", "__high", "__count")
+    return df.withColumn("__keys", F.struct(*keys)).withColumn("__range", F.floor(F.col(by) / F.lit(rows)))
 
 
 def with_range(ranged: DataFrame, found: DataFrame) -> DataFrame:
@@ -112,6 +110,24 @@ def duplicates(points: DataFrame) -> DataFrame:
     return points.groupBy("run", "metric", "step").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
 
 
+def out_of_order(points: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
+    """(run, metric, pos, step, before) of points whose step is not above that of the point before, by pos."""
+    ranged = step_ranges(points.select("run", "metric", "pos", "step"), ["run", "metric"], "pos", rows)
+    ends = ranged.groupBy("__keys", "__range").agg(F.max_by("step", "pos").alias("end"))
+    border = ends.select("__keys", "__range", F.lag("end").over(Window.partitionBy("__keys").orderBy("__range")).alias("border"))
+    inside = F.lag("step").over(Window.partitionBy("__keys", "__range").orderBy("pos"))
+    met = with_range(ranged, border).withColumn("before", F.coalesce(inside, F.col("border")))
+    return met.where(F.col("step") <= F.col("before")).select("run", "metric", "pos", "step", "before")
+
+
+def increasing(points: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
+    """The points, raising when it runs if a metric's steps don't increase strictly by pos."""
+    bad = out_of_order(points, rows).agg(F.first(F.concat_ws(" ", "metric", "step", "before")).alias("__bad"))  # one row
+    text = F.concat(F.lit("step doesn't increase (metric, step, step before): "), F.col("__bad"))
+    guarded = F.when(F.col("__bad").isNotNull(), F.raise_error(text).cast("bigint")).otherwise(F.col("step"))
+    return points.crossJoin(F.broadcast(bad)).withColumn("step", guarded).drop("__bad")
+
+
 def checked(points: DataFrame) -> DataFrame:
     """The points, raising when it runs on a step out of range or a reserved or missing name."""
     bad = F.col("step").isNull() | (F.col("step") < 0) | (F.col("step") > LAST_STEP)

@@ -12,48 +12,53 @@ KEYS = ("run", "metric")
 MOST, PER = 4, 10
 
 
-def _diffs(points: DataFrame, rows: int) -> DataFrame:
-    """Each point with the step after it, `next`, found over ranges of steps so that no task gets a whole metric."""
-    ranged = step_ranges(points.select(*KEYS, "step"), list(KEYS), "step", rows)
-    first = ranged.groupBy("__keys", "__range").agg(F.min("step").alias("first"))
-    after = first.select("__keys", "__range", F.lead("first").over(Window.partitionBy("__keys").orderBy("__range")).alias("after"))
-    inside = Window.partitionBy("__keys", "__range").orderBy("step")
-    return with_range(ranged, after).withColumn("next", F.coalesce(F.lead("step").over(inside), F.col("after")))
-
-
 def segment(points: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
     """(run, metric, start, stop, stride): the greedy segmentation of each metric's steps.
 
     From the left, a segment takes points while their distance stays equal; the
     next one begins at the point after it, and the distance between the two is
     no segment's. A single last point is {v, v + 1, 1}. Steps must be distinct
-    within a metric. Runs of equal distances are found within ranges of steps
-    and then joined; what remains to be ordered in one task is a row for each
-    run, not for each point.
+    within a metric.
+
+    A distance is inside a segment or a bridge behind one. Behind a bridge a
+    segment begins; a distance equal to the one before is inside of it, and
+    another one turns inside into bridge. So the state flips with every unequal
+    distance since the last equal one, and a range of steps passes a state on
+    or sets it. Each range is worked on alone; what is ordered over a metric is
+    one row for each of its ranges.
     """
     keys = list(KEYS)
-    steps = _diffs(points, rows)
-    inside = Window.partitionBy("__keys", "__range").orderBy("step")
-    distance = F.col("next") - F.col("step")
-    marked = steps.withColumn("diff", distance).withColumn("new", F.coalesce((F.col("diff") != F.lag("diff").over(inside)).cast("int"), F.lit(1)))
-    parts = marked.withColumn("part", F.sum("new").over(inside)).groupBy("__keys", "__range", *keys, "part", "diff").agg(F.min("step").alias("first"), F.count(F.lit(1)).alias("length"))
-    # equal distances on both sides of a border are one run; the last point has no distance
-    order = Window.partitionBy(*keys).orderBy("first")
-    runs = parts.withColumn("joined", F.coalesce((~F.col("diff").eqNullSafe(F.lag("diff").over(order))).cast("int"), F.lit(1))).withColumn("rid", F.sum("joined").over(order))
-    runs = runs.groupBy(*keys, "rid", "diff").agg(F.min("first").alias("first"), F.sum("length").alias("length"))
-    # the first distance of a run is the bridge after the segment before it, unless that bridge was a run of one itself
-    before = Window.partitionBy(*keys).orderBy("rid").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumn("long", F.coalesce(F.sum((F.col("length") >= 2).cast("int")).over(before), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy(*keys, "long").orderBy("rid")) - 1
-    runs = runs.withColumn("bridge", (F.when(F.col("long") > 0, 1).otherwise(0) + place) % 2)
-    whole = (
-        runs.where(F.col("diff").isNotNull() & (F.col("length") - F.col("bridge") >= 1))
-        .select(*keys, (F.col("first") + F.col("bridge") * F.col("diff")).alias("start"), (F.col("first") + (F.col("length") + 1) * F.col("diff")).alias("stop"), F.col("diff").alias("stride"))
-    )
-    # the last point stands alone if the distance before it was a bridge, or there is none
-    ends = runs.withColumn("spent", F.lag(F.struct("bridge", "length")).over(Window.partitionBy(*keys).orderBy("rid"))).where(F.col("diff").isNull())
-    alone = ends.where(F.col("spent").isNull() | ((F.col("spent.bridge") == 1) & (F.col("spent.length") == 1)))
-    return whole.unionByName(alone.select(*keys, F.col("first").alias("start"), (F.col("first") + 1).alias("stop"), F.lit(1).cast("bigint").alias("stride")))
+    ranged = step_ranges(points.select(*KEYS, "step"), keys, "step", rows)
+    inside, over = Window.partitionBy("__keys", "__range").orderBy("step"), Window.partitionBy("__keys").orderBy("__range")
+    before, behind = over.rowsBetween(Window.unboundedPreceding, -1), over.rowsBetween(1, Window.unboundedFollowing)
+
+    ends = ranged.groupBy("__keys", "__range").agg(F.min("step").alias("first"), F.max("step").alias("last"))
+    border = ends.select("__keys", "__range", F.lead("first").over(over).alias("after"), F.lag("last").over(over).alias("ahead"))
+    near = with_range(ranged, border).withColumn("diff", F.coalesce(F.lead("step").over(inside), F.col("after")) - F.col("step"))
+    near = near.withColumn("equal", F.coalesce(F.col("diff") == F.col("step") - F.coalesce(F.lag("step").over(inside), F.col("ahead")), F.lit(False))).drop("after", "ahead")
+    flips = near.withColumn("flips", F.sum((F.col("diff").isNotNull() & ~F.col("equal")).cast("long")).over(inside))
+    flips = flips.withColumn("at_equal", F.max(F.when(F.col("equal"), F.col("flips"))).over(inside))
+
+    # of each range: whether it sets the state, and whether it flips it since, or in all
+    found = flips.groupBy("__keys", "__range").agg(F.max("flips").alias("flips"), F.max("at_equal").alias("at_equal"))
+    found = found.withColumn("flip", (F.col("flips") - F.coalesce("at_equal", F.lit(0))) % 2).withColumn("passed", F.when(F.col("at_equal").isNull(), F.col("flip")).otherwise(F.lit(0)))
+    found = found.withColumn("sum", F.sum("passed").over(over.rowsBetween(Window.unboundedPreceding, 0)))
+    held = F.last(F.when(F.col("at_equal").isNotNull(), F.struct("sum", "flip")), ignorenulls=True).over(before)
+    found = found.withColumn("held", held).withColumn("total", F.coalesce(F.sum("passed").over(before), F.lit(0)))
+    entry = F.when(F.col("held").isNull(), F.col("total") % 2).otherwise((1 - F.col("held.flip") + F.col("total") - F.col("held.sum")) % 2)
+    state = F.when(F.col("at_equal").isNull(), (F.col("entry") + F.col("flips")) % 2).otherwise((1 + F.col("flips") - F.col("at_equal")) % 2)
+    known = with_range(flips, found.select("__keys", "__range", entry.alias("entry"))).withColumn("state", state)
+    known = known.withColumn("starts", F.coalesce(F.lag("state").over(inside), F.col("entry")) == 0).withColumn("end", F.when((F.col("state") == 0) | F.col("diff").isNull(), F.col("step")))
+
+    # a segment that begins here ends at the next end behind it, in this range or a later one
+    firsts = known.groupBy("__keys", "__range").agg(F.min("end").alias("end"))
+    later = with_range(known, firsts.select("__keys", "__range", F.min("end").over(behind).alias("later")))
+    # read from the last step on, as a frame that begins at the current row costs a pass for each
+    soon = F.min("end").over(Window.partitionBy("__keys", "__range").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1))
+    whole = later.withColumn("until", F.coalesce(soon, F.col("later"))).where("starts")
+    alone = F.col("diff").isNull()
+    stride = F.when(alone, F.lit(1)).otherwise(F.col("diff")).cast("bigint")
+    return whole.select(*keys, F.col("step").alias("start"), (F.when(alone, F.col("step")).otherwise(F.col("until")) + stride).alias("stop"), stride.alias("stride"))
 
 
 def segment_count(start: Column, stop: Column, stride: Column) -> Column:

@@ -195,8 +195,8 @@ _REPLAY = """with rw as (select event_id as line, event_id as step, value, user_
 def _replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`events` as a log that is taken back to its middle and goes on from there for 500 rows."""
     t = _table(spark, sf_dir, "events")
-    last = t.agg(F.max("event_id")).first()[0]
-    again = t.where("event_id < 500").select(F.lit("events").alias("run"), (F.lit(last + 1) + F.col("event_id")).alias("line"), (F.col("event_id") + last // 2).alias("step"), (-F.col("value")).alias("value"))
+    last = t.agg(F.max("event_id").alias("last"))  # one row
+    again = t.where("event_id < 500").crossJoin(F.broadcast(last)).select(F.lit("events").alias("run"), (F.col("last") + 1 + F.col("event_id")).alias("line"), (F.col("event_id") + F.floor(F.col("last") / 2)).alias("step"), (-F.col("value")).alias("value"))
     return t.select(F.lit("events").alias("run"), F.col("event_id").alias("line"), F.col("event_id").alias("step"), "value").unionByName(again)
 
 
@@ -207,11 +207,7 @@ def rewind_resolve(spark, sf_dir):
 
 @_query("select 'events' as run, event_type as metric, event_id as step from events where not regexp_full_match(event_type, 'p.*|.*out')")
 def skip_columns(spark, sf_dir):
-    import re
-
-    names = [r["metric"] for r in P.metric_names(events(spark, sf_dir)).collect()]
-    skipped = [n for n in names if re.fullmatch("p.*|.*out", n)]
-    return events(spark, sf_dir).where(~F.col("metric").isin(skipped)).select("run", "metric", "step")
+    return M.without(events(spark, sf_dir), ("p.*", ".*out")).select("run", "metric", "step")
 
 
 _WIDE = """with w as (select event_id as pos, 'value' as metric, value as num from events union all select event_id, 'walltime', epoch_us(ts) from events union all
