@@ -39,23 +39,25 @@ def segment(points: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
     flips = near.withColumn("flips", F.sum((F.col("diff").isNotNull() & ~F.col("equal")).cast("long")).over(inside))
     flips = flips.withColumn("at_equal", F.max(F.when(F.col("equal"), F.col("flips"))).over(inside))
 
-    # of each range: whether it sets the state, and whether it flips it since, or in all
-    found = flips.groupBy("__keys", "__range").agg(F.max("flips").alias("flips"), F.max("at_equal").alias("at_equal"))
-    found = found.withColumn("flip", (F.col("flips") - F.coalesce("at_equal", F.lit(0))) % 2).withColumn("passed", F.when(F.col("at_equal").isNull(), F.col("flip")).otherwise(F.lit(0)))
+    known = F.col("at_equal").isNotNull()
+    state = lambda entry: F.when(known, (1 + F.col("flips") - F.col("at_equal")) % 2).otherwise((entry + F.col("flips")) % 2)
+    end = lambda entry: F.when((state(entry) == 0) | F.col("diff").isNull(), F.col("step"))
+
+    # of each range: whether it sets the state, whether it flips it since or in all, and its first end for either state before it
+    found = flips.groupBy("__keys", "__range").agg(F.max("flips").alias("flips"), F.max("at_equal").alias("at_equal"), F.min(end(F.lit(0))).alias("end0"), F.min(end(F.lit(1))).alias("end1"))
+    found = found.withColumn("flip", (F.col("flips") - F.coalesce("at_equal", F.lit(0))) % 2).withColumn("passed", F.when(known, F.lit(0)).otherwise(F.col("flip")))
     found = found.withColumn("sum", F.sum("passed").over(over.rowsBetween(Window.unboundedPreceding, 0)))
-    held = F.last(F.when(F.col("at_equal").isNotNull(), F.struct("sum", "flip")), ignorenulls=True).over(before)
+    held = F.last(F.when(known, F.struct("sum", "flip")), ignorenulls=True).over(before)
     found = found.withColumn("held", held).withColumn("total", F.coalesce(F.sum("passed").over(before), F.lit(0)))
-    entry = F.when(F.col("held").isNull(), F.col("total") % 2).otherwise((1 - F.col("held.flip") + F.col("total") - F.col("held.sum")) % 2)
-    state = F.when(F.col("at_equal").isNull(), (F.col("entry") + F.col("flips")) % 2).otherwise((1 + F.col("flips") - F.col("at_equal")) % 2)
-    known = with_range(flips, found.select("__keys", "__range", entry.alias("entry"))).withColumn("state", state)
-    known = known.withColumn("starts", F.coalesce(F.lag("state").over(inside), F.col("entry")) == 0).withColumn("end", F.when((F.col("state") == 0) | F.col("diff").isNull(), F.col("step")))
+    found = found.withColumn("entry", F.when(F.col("held").isNull(), F.col("total") % 2).otherwise((1 - F.col("held.flip") + F.col("total") - F.col("held.sum")) % 2))
+    later = F.min(F.when(F.col("entry") == 0, F.col("end0")).otherwise(F.col("end1"))).over(behind)
+    known_all = with_range(flips, found.select("__keys", "__range", "entry", later.alias("later"))).withColumn("state", state(F.col("entry")))
+    known_all = known_all.withColumn("starts", F.coalesce(F.lag("state").over(inside), F.col("entry")) == 0).withColumn("end", end(F.col("entry")))
 
     # a segment that begins here ends at the next end behind it, in this range or a later one
-    firsts = known.groupBy("__keys", "__range").agg(F.min("end").alias("end"))
-    later = with_range(known, firsts.select("__keys", "__range", F.min("end").over(behind).alias("later")))
     # read from the last step on, as a frame that begins at the current row costs a pass for each
     soon = F.min("end").over(Window.partitionBy("__keys", "__range").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1))
-    whole = later.withColumn("until", F.coalesce(soon, F.col("later"))).where("starts")
+    whole = known_all.withColumn("until", F.coalesce(soon, F.col("later"))).where("starts")
     alone = F.col("diff").isNull()
     stride = F.when(alone, F.lit(1)).otherwise(F.col("diff")).cast("bigint")
     return whole.select(*keys, F.col("step").alias("start"), (F.when(alone, F.col("step")).otherwise(F.col("until")) + stride).alias("stop"), stride.alias("stride"))
