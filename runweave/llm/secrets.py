@@ -39,6 +39,11 @@ _ASSIGN_HINTS = ("passw", "secret", "token", "apikey", "api_key")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 _ONE_ESCAPE = re.compile(r"\\(?:u\{([0-9A-Fa-f]+)\}|u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
+#: Escapes of an escape's own first character, one inside the other; more than NESTED of them become so many at once.
+NESTED = 4
+_DEEP_PERCENT = re.compile(r"%%(?:25){%d,}(?=[0-9A-Fa-f]{2})" % (NESTED + 1))
+_DEEP_ESCAPE = re.compile(r"\\(?:u005[cC]|x5[cC]|u\{5[cC]\}|U0000005[cC]){%d,}(?=[uUx])" % (NESTED + 1))
+_INNER = re.compile(r"25|u005[cC]|x5[cC]|u\{5[cC]\}|U0000005[cC]")
 #: Shortest base64 run that is tried; 16 characters hold the 12 bytes that the shortest assignment needs.
 MIN_BASE64 = 16
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_BASE64)
@@ -234,33 +239,43 @@ def _base64(layer: Layer, a: int, b: int) -> tuple[list[Layer], bool]:
     return out, cut
 
 
-def _in_place(layer: Layer, mark: str, pattern: re.Pattern, decode) -> tuple[Layer | None, list[Layer], bool]:
+def _in_place(layer: Layer, pattern: re.Pattern, decode) -> tuple[Layer | None, list[Layer], bool]:
     """The layer with every match decoded, and layers of matches that hold compressed bytes."""
     parts, starts, ends, inner, cut, at = [], [], [], [], False, 0
+    exact = layer.whole is None  # else all has one span
     for m in pattern.finditer(layer.text):
         pieces = decode(m[0])
-        if mark == "%":
+        if pattern is _PERCENT:
             found, more = _from_bytes(bytes.fromhex(m[0].replace("%", "")), layer.span(m.start(), m.end()))
             cut |= more
             inner += found
-        s, e = layer.sources(at, m.start())
         parts.append(layer.text[at : m.start()])
-        starts.append(s)
-        ends.append(e)
-        for char, a, b in pieces:
-            s, e = layer.span(m.start() + a, m.start() + b)
-            parts.append(char)
-            starts.append(np.array([s]))
-            ends.append(np.array([e]))
+        parts += [char for char, _, _ in pieces]
+        if exact:
+            s, e = layer.sources(at, m.start())
+            starts.append(s)
+            ends.append(e)
+            spans = [layer.span(m.start() + a, m.start() + b) for _, a, b in pieces]
+            starts.append(np.array([s for s, _ in spans], dtype=np.int64))
+            ends.append(np.array([e for _, e in spans], dtype=np.int64))
         at = m.end()
     if not at:
         return None, inner, cut
-    s, e = layer.sources(at, len(layer.text))
     text = "".join(parts) + layer.text[at:]
+    if not exact:
+        return Layer(text, whole=layer.whole), inner, cut
+    s, e = layer.sources(at, len(layer.text))
     return Layer(text, np.concatenate([*starts, s]), np.concatenate([*ends, e])), inner, cut
 
 
+def _shallow(run: str) -> list[tuple[str, int, int]]:
+    """An escape nested in itself, with its last NESTED levels only."""
+    at = [m.start() for m in _INNER.finditer(run, 1)][-NESTED]
+    return [(run[0], 0, at), *((run[i], i, i + 1) for i in range(at, len(run)))]
+
+
 def _percent(run: str) -> list[tuple[str, int, int]]:
+    """The characters of a run of percent escapes and where each stands."""
     text = bytes.fromhex(run.replace("%", "")).decode("utf-8", "surrogateescape")
     out, at = [], 0
     for char in text:
@@ -286,9 +301,12 @@ def _escapes(run: str) -> list[tuple[str, int, int]]:
 
 def _children(layer: Layer, base64_runs: list[tuple[int, int]] | None) -> tuple[list[Layer], bool]:
     out, cut = [], False
-    for mark, pattern, decode in (("%", _PERCENT, _percent), ("\\", _ESCAPE, _escapes)):
+    for mark, deep, pattern, decode in (("%", _DEEP_PERCENT, _PERCENT, _percent), ("\\", _DEEP_ESCAPE, _ESCAPE, _escapes)):
         if mark in layer.text:
-            child, inner, more = _in_place(layer, mark, pattern, decode)
+            # each level of a deep nest would be a layer of its own, and cost all of its text
+            if deep.search(layer.text):
+                pattern, decode = deep, _shallow
+            child, inner, more = _in_place(layer, pattern, decode)
             cut |= more
             out += inner + ([child] if child else [])
     if not layer.guess:

@@ -5,6 +5,7 @@ import hashlib
 import lzma
 import random
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -135,3 +136,26 @@ def test_streams_are_read_to_their_end(monkeypatch):
         for at in (10, 985, 1490, 1990, 50_000):
             _, spans, _, cut = secrets.scan(base64.b64encode(pack(b" " * at + b"token=abcdefgh" + b" " * 3000)).decode())
             assert spans and cut, (pack, at)
+
+
+def test_deep_nests_take_one_pass():
+    began = time.process_time()
+    for text in ("%" + "25" * 500_000 + "74oken=abcdefgh", "\\" + "u005c" * 200_000 + "u0074oken=abcdefgh", "\\" + "x5C" * 200_000 + "x74oken=abcdefgh", "%25" * 300_000 + "token=abcdefgh"):
+        _, spans, layers, cut = secrets.scan(text)
+        assert any(k == 0 and b == len(text) for _, k, b in spans) and layers < 60 and not cut
+    assert time.process_time() - began < 120
+
+
+def test_nests_against_plain_unwrapping():
+    """Every depth, and several depths in one text, finds what decoding level by level with the standard library does."""
+    rng = random.Random(8)
+    for depth in range(1, 14):
+        other = rng.randrange(1, 14)
+        text = f"a %{'25' * (depth - 1)}74oken=abcdefgh b %{'25' * (other - 1)}70assword=abcdefgh c"
+        seen, plain = text, set()
+        while True:
+            plain |= {m[0] for m in re.finditer(PATTERNS[0], seen)}
+            if seen == (seen := urllib.parse.unquote(seen)):
+                break
+        assert plain == {"token=abcdefgh", "password=abcdefgh"}
+        assert {text[a:b] for a, k, b in secrets.scan(text)[1] if k == 0} == {text[2 : text.index(" b")], text[text.index(" b") + 3 : -2]}, text
