@@ -27,6 +27,8 @@ MAX_MODEL_BYTES = 256 << 20
 UNDETERMINED = "und"
 #: Bytes of text whose n-grams are held at once, unless one text is longer.
 BLOCK = 1 << 16
+#: Places in a text whose n-grams are held at once.
+STEP = 1 << 17
 
 
 @lru_cache(1)
@@ -35,52 +37,56 @@ def _letters() -> np.ndarray:
     return np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(sys.maxunicode + 1)), dtype=bool, count=sys.maxunicode + 1)
 
 
-def _features(texts: list[str | None], orders: tuple[int, ...], dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of all n-grams, document of each, and which documents have a letter.
-
-    Texts are lower-cased. Each is enclosed by a border character, which also
-    keeps n-grams from reaching over two documents.
-    """
-    parts = ["" if t is None else t.lower() for t in texts]
-    points = np.frombuffer(("\n" + "\n".join(parts) + "\n").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-    ends = np.cumsum(sizes + 1)  # the border after each document
-    doc = np.repeat(np.arange(len(parts)), sizes + 1)
-    letters = np.bincount(doc, weights=_letters()[points[1:]], minlength=len(parts)) > 0
-    slots, docs = [], []
-    wide = points.astype(U64)
-    inner = np.ones(len(points), dtype=bool)
-    inner[0] = False
-    inner[ends] = False
-    for n in orders:
-        m = len(points) - n + 1
-        if m <= 0:
-            continue
-        total = np.full(m, n, dtype=U64)
-        for k in range(n):
-            total = total * U64(0x100000001B3) + wide[k : k + m]
-        # borders may stand at either end of an n-gram, not within it
-        ok = np.ones(m, dtype=bool) if n > 1 else inner[:m].copy()
-        for k in range(1, n - 1):
-            ok &= inner[k : k + m]
-        if n == 2:
-            ok &= inner[:m] | inner[1 : 1 + m]
-        at = np.flatnonzero(ok)
-        slots.append((mix(total[at]) & U64(dims - 1)).astype(np.int64))
-        docs.append(np.searchsorted(ends, at + (~inner[at]), side="left"))
-    return np.concatenate(slots), np.concatenate(docs), letters
+class _Features:
+    """The n-grams of texts. They are lower-cased, and each is enclosed by a border character, which also keeps n-grams from reaching over two of them."""
+
+    def __init__(self, texts: list[str | None], orders: tuple[int, ...], dims: int):
+        parts = ["" if t is None else t.lower() for t in texts]
+        self.points = np.frombuffer(("\n" + "\n".join(parts) + "\n").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        self.ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) + 1)  # the border after each text
+        self.orders, self.dims = orders, dims
+        #: Which texts have a letter.
+        self.letters = np.zeros(len(parts), dtype=bool)
+
+    def slices(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Slots of the n-grams and the text of each, for STEP places at a time, so that a long text needs no more than these."""
+        border = np.zeros(len(self.points), dtype=bool)
+        border[0] = True
+        border[self.ends] = True
+        for at in range(0, len(self.points), STEP):
+            wide = self.points[at : at + STEP + max(self.orders) - 1].astype(U64)
+            inner = ~border[at : at + len(wide)]
+            here = np.flatnonzero(inner[:STEP])
+            self.letters[np.searchsorted(self.ends, at + here[_letters()[self.points[at + here]]])] = True
+            slots, docs = [], []
+            for n in self.orders:
+                m = min(len(wide) - n + 1, STEP)
+                if m <= 0:
+                    continue
+                total = np.full(m, n, dtype=U64)
+                for k in range(n):
+                    total = total * U64(0x100000001B3) + wide[k : k + m]
+                # borders may stand at either end of an n-gram, not within it
+                ok = np.ones(m, dtype=bool) if n > 1 else inner[:m].copy()
+                for k in range(1, n - 1):
+                    ok &= inner[k : k + m]
+                if n == 2:
+                    ok &= inner[:m] | inner[1 : 1 + m]
+                found = np.flatnonzero(ok)
+                slots.append((mix(total[found]) & U64(self.dims - 1)).astype(np.int64))
+                docs.append(np.searchsorted(self.ends, at + found + (~inner[found]), side="left"))
+            yield np.concatenate(slots), np.concatenate(docs)
 
 
 def _counts(dims: int, orders: tuple[int, ...]):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in blocks(batches, limit=BLOCK):
-            langs = batch.column("lang").to_pylist()
-            slots, docs, _ = _features(batch.column("text").to_pylist(), orders, dims)
-            names, which = np.unique(np.array(langs, dtype=object).astype(str), return_inverse=True)
-            sums = np.bincount(which[docs] * dims + slots, minlength=len(names) * dims).reshape(len(names), dims)
-            for name, row in zip(names, sums, strict=True):
-                total[str(name)] = total.get(str(name), 0) + row
+            names, which = np.unique(np.array(batch.column("lang").to_pylist(), dtype=object).astype(str), return_inverse=True)
+            for slots, docs in _Features(batch.column("text").to_pylist(), orders, dims).slices():
+                sums = np.bincount(which[docs] * dims + slots, minlength=len(names) * dims).reshape(len(names), dims)
+                for name, row in zip(names, sums, strict=True):
+                    total[str(name)] = total.get(str(name), 0) + row
         for name, row in total.items():
             at = np.flatnonzero(row)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(at), pa.string()), "slot": pa.array(at, pa.int32()), "n": pa.array(row[at], pa.int64())})
@@ -92,7 +98,7 @@ def train(docs: DataFrame, dims: int = DIMS, orders: tuple[int, ...] = ORDERS, t
     """Fit the classifier on (doc_id, text, lang); returns languages and log probabilities.
 
     Rows with a null text or lang are left out. Of each language, documents
-    enter by a hash of id and text, as many as `train_docs` in expectation (all
+    enter by a hash of id and length, as many as `train_docs` in expectation (all
     where there are fewer); this bound is what keeps the cost of training apart
     from the size of the corpus. Languages are equally likely beforehand. With
     no rows to learn from there are no languages.
@@ -135,10 +141,12 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str
             n = batch.num_rows
             best, sure = np.full(n, len(langs)), np.zeros(n)
             if langs:
-                slots, doc, letters = _features(batch.column("text").to_pylist(), orders, dims)
-                sums = np.empty((n, len(langs)))
-                for j in range(len(langs)):
-                    sums[:, j] = np.bincount(doc, weights=logs[:, j][slots], minlength=n)
+                features = _Features(batch.column("text").to_pylist(), orders, dims)
+                sums = np.zeros((n, len(langs)))
+                for slots, doc in features.slices():
+                    for j in range(len(langs)):
+                        sums[:, j] += np.bincount(doc, weights=logs[:, j][slots], minlength=n)
+                letters = features.letters
                 odds = np.exp(sums - sums.max(axis=1, keepdims=True))
                 best = np.where(letters, sums.argmax(axis=1), best)
                 sure = np.where(letters, 1 / odds.sum(axis=1), 0.0)

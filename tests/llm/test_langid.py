@@ -1,5 +1,10 @@
+import math
 import random
 import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
 
 from runweave.llm import langid
 
@@ -29,13 +34,43 @@ def test_held_out_labels_are_not_learned(spark):
     assert {(r["doc_id"], r["lang_pred"], r["score"]) for r in langid.identify(frame).collect()} == {(r["doc_id"], r["lang_pred"], r["score"]) for r in langid.identify(changed).collect()}
 
 
-def test_counts_against_brute_force():
-    texts, dims, orders = ["Ab", None, "", "é b"], 1 << 12, (1, 2, 3)
-    slots, docs, letters = langid._features(texts, orders, dims)
-    n = [sum(max(0, len(t or "") + (2 if o > 1 else 0) - o + 1) if t else 0 for o in orders) for t in texts]
-    assert [int((docs == i).sum()) for i in range(4)] == n and letters.tolist() == [True, False, False, True]
-    again, of, _ = langid._features(["ab"], orders, dims)
-    assert sorted(slots[docs == 0].tolist()) == sorted(again.tolist())
+def grams(text, orders):
+    """All n-grams of a text as strings."""
+    bordered = f"\n{text.lower()}\n"
+    return [bordered[i : i + n] for n in orders for i in range(len(bordered) - n + 1) if bordered[i : i + n].strip("\n")]
+
+
+@pytest.mark.parametrize("step", [1, 5, 1 << 17])
+def test_counts_against_brute_force(monkeypatch, step):
+    monkeypatch.setattr(langid, "STEP", step)
+    texts, dims, orders = ["Ab", None, "", "é b", "lOng ünd x" * 9], 1 << 12, (1, 2, 3)
+    features = langid._Features(texts, orders, dims)
+    found = list(features.slices())
+    slots, docs = (np.concatenate(x) for x in zip(*found, strict=True))
+    assert [int((docs == i).sum()) for i in range(5)] == [len(grams(t or "", orders)) if t else 0 for t in texts]
+    assert features.letters.tolist() == [True, False, False, True, True]
+    again = langid._Features(["ab"], orders, dims)
+    assert sorted(slots[docs == 0].tolist()) == sorted(np.concatenate([x for x, _ in again.slices()]).tolist())
+
+
+def test_predictions_against_brute_force(spark):
+    """Naive Bayes over the n-grams themselves; with so many slots as here none of them share one."""
+    frame, _ = corpus(spark, 60)
+    dims, orders, smoothing = 1 << 20, (1, 2, 3), 0.5
+    rows = frame.collect()
+    learned = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    model = langid.train(spark.createDataFrame(learned, frame.schema), dims, orders, smoothing=smoothing)
+    counts = {lang: Counter(g for r in learned if r["lang"] == lang for g in grams(r["text"], orders)) for lang in {r["lang"] for r in learned}}
+    assert len({g for c in counts.values() for g in c}) == int((model[1] > model[1].min(axis=0)).any(axis=1).sum())
+    short = [(1000 + i, " ".join(r["text"].split()[i % 7 :][:2]), None) for i, r in enumerate(rows)]
+    asked = {r[0]: r[1] for r in [*map(tuple, rows), *short]}
+    got = {r["doc_id"]: r for r in langid.predict(spark.createDataFrame([(i, t) for i, t in asked.items()], "doc_id long, text string"), model, ["doc_id"], orders).collect()}
+    assert len(got) == len(asked)
+    for i, text in asked.items():
+        logs = {lang: sum(math.log((c[g] + smoothing) / (sum(c.values()) + smoothing * dims)) for g in grams(text, orders)) for lang, c in counts.items()}
+        best = max(logs.values())
+        assert got[i]["lang_pred"] == min(lang for lang, x in logs.items() if x == best)
+        assert got[i]["score"] == pytest.approx(1 / sum(math.exp(x - best) for x in logs.values()), abs=1e-3)
 
 
 def test_odd_rows(spark, documents, clashing, nothing):
@@ -48,3 +83,11 @@ def test_odd_rows(spark, documents, clashing, nothing):
             assert (r["lang_pred"], r["score"]) == ("und", 0.0)
     unlabelled = spark.createDataFrame([(1, "abc", None), (None, "abc", "en"), (None, None, None)], "doc_id long, text string, lang string")
     assert {(r["held_out"], r["lang_pred"]) for r in langid.identify(unlabelled).collect()} == {(False, "und")}
+
+
+def test_a_very_long_text(spark, monkeypatch):
+    frame, truth = corpus(spark, 60)
+    model = langid.train(frame)
+    text = " ".join(r["text"] for r in frame.collect() if r["lang"] == "aa")
+    long = spark.createDataFrame([(1, (text + " ") * 400), (2, text)], "doc_id long, text string")
+    assert {(r["lang_pred"], r["score"]) for r in langid.predict(long, model, ["doc_id"]).collect()} == {("aa", 1.0)}
