@@ -25,8 +25,10 @@ from runweave.llm.text import U64, shingles, utf8, word_hashes, words
 WIDTH, K = 5, 128
 #: Texts that are hashed at once have so many bytes at most, unless one is longer.
 BLOCK = 1 << 19
+#: Keys whose fingerprints a task merges at once.
+MERGED = 4096
 #: Rows of the sample, for each partition, from which the ranges of ids are taken.
-SAMPLE = 64
+SAMPLE = 16
 
 
 def bottom_k(texts: list[str], width: int = WIDTH, k: int = K) -> list[np.ndarray]:
@@ -119,24 +121,50 @@ def _by_size(texts: list[str]) -> Iterator[list[str]]:
 def merge_fingerprints(parts: DataFrame, key: str, k: int = K) -> DataFrame:
     """(key, fingerprint, distinct) of the union of all `fingerprint` rows with a key.
 
-    Tasks merge what they read before anything is sent, so a key has one row
-    for each task at most where its parts meet. A null key is a key.
+    Tasks merge what they read before anything is sent, MERGED keys at a time,
+    so that a frequent key has few rows where its parts meet. There they come in
+    order of the key, and one is held at a time. A null key is a key.
     """
     kind, arrow_kind = parts.schema[key].dataType.simpleString(), to_arrow_type(parts.schema[key].dataType)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(found: list[tuple[object, np.ndarray]]) -> list[pa.Array]:
+        return [pa.array([name for name, _ in found], arrow_kind), pa.array([spell(x) for _, x in found], pa.string())]
+
+    def before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[object, np.ndarray] = {}
         for batch in batches:
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 got = parse(text or "")
                 sums[name] = merge([sums[name], got], k) if name in sums else got
+                if len(sums) >= MERGED:
+                    yield pa.RecordBatch.from_arrays(rows(list(sums.items())), names=[key, "fingerprint"])
+                    sums.clear()
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), arrow_kind), pa.array([spell(x) for x in sums.values()], pa.string())], names=[key, "fingerprint"])
+            yield pa.RecordBatch.from_arrays(rows(list(sums.items())), names=[key, "fingerprint"])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def answer(found: list[tuple[object, np.ndarray]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*rows(found), pa.array([distinct_count(x, k) for _, x in found], pa.float64())], names=[key, "fingerprint", "distinct"])
+
+        done: list[tuple[object, np.ndarray]] = []
+        held: tuple[object, np.ndarray] | None = None
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                got = parse(text)
+                if held is not None and held[0] == name:
+                    held = name, merge([held[1], got], k)
+                    continue
+                if held is not None:
+                    done.append(held)
+                held = name, got
+            if len(done) >= MERGED:
+                yield answer(done)
+                done = []
+        if held is not None:
+            yield answer([*done, held])
 
-    rows = parts.select(key, "fingerprint").mapInArrow(run, f"`{key}` {kind}, fingerprint string")
-    met = rows.repartition(partitions(parts.sparkSession), key).mapInArrow(run, f"`{key}` {kind}, fingerprint string")
-    count = F.udf(lambda text: distinct_count(parse(text), k), "double")
-    return met.withColumn("distinct", count("fingerprint"))
+    sent = parts.select(key, "fingerprint").mapInArrow(before, f"`{key}` {kind}, fingerprint string")
+    return sent.repartition(partitions(parts.sparkSession), key).sortWithinPartitions(key).mapInArrow(met, f"`{key}` {kind}, fingerprint string, distinct double")
 
 
 def edited(text: str, following: str) -> str:
@@ -150,9 +178,12 @@ def _bounds(keys: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     rows = keys.count()
     if rows > 4 * SAMPLE * n:
         keys = keys.where(F.pmod(F.xxhash64("a", "tie", F.lit(1)), F.lit(1 << 30)) < F.lit(int((1 << 30) * SAMPLE * n / rows)))
-    drawn = sorted((r["a"], r["tie"]) for r in keys.collect())
-    cuts = sorted({drawn[len(drawn) * i // n] for i in range(1, n)}) if drawn else []
-    return np.array([c[0] for c in cuts], dtype=np.int64), np.array([c[1] for c in cuts], dtype=np.int64)
+    drawn = keys.toArrow()  # 16 bytes for each of 4 * SAMPLE * n at most
+    a, tie = drawn["a"].to_numpy(), drawn["tie"].to_numpy()
+    order = np.lexsort((tie, a))
+    cuts = np.unique(order[len(order) * np.arange(1, n) // n]) if len(order) else order
+    cuts = np.unique(np.stack([a[cuts], tie[cuts]]), axis=1)
+    return cuts[0], cuts[1]
 
 
 def _part(bounds: tuple[np.ndarray, np.ndarray], a: np.ndarray, tie: np.ndarray) -> np.ndarray:
@@ -188,9 +219,11 @@ def compare_edits(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), batch.column("a"), batch.column("tie")], names=["part", "a", "tie"])
 
     found = keys.mapInArrow(first_of_each, "part int, a long, tie long").groupBy("part").agg(F.min(F.struct("a", "tie")).alias("head")).collect()  # a row for each range
-    heads = {r["part"]: (r["head"]["a"], r["head"]["tie"]) for r in found}
-    used = sorted(heads)
-    before = {used[i]: used[i - 1] for i in range(len(used))}
+    used = np.array(sorted(r["part"] for r in found), dtype=np.int64)
+    head_a, head_tie, before = (np.zeros(len(bounds[0]) + 1, dtype=np.int64) for _ in range(3))
+    for r in found:
+        head_a[r["part"]], head_tie[r["part"]] = r["head"]["a"], r["head"]["tie"]
+    before[used] = np.roll(used, 1)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,9 +232,9 @@ def compare_edits(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:
             a, tie = batch.column("a").to_numpy(), batch.column("tie").to_numpy()
             part = _part(bounds, a, tie)
             yield batch.append_column("part", pa.array(part, pa.int32())).append_column("extra", pa.array(np.zeros(len(a), dtype=np.int32)))
-            first = np.array([(x, y) == heads[p] for x, y, p in zip(a.tolist(), tie.tolist(), part.tolist(), strict=True)])
+            first = (a == head_a[part]) & (tie == head_tie[part])
             if first.any():
-                to = [before[p] for p in part[first].tolist()]
+                to = before[part[first]]
                 yield batch.filter(pa.array(first)).append_column("part", pa.array(to, pa.int32())).append_column("extra", pa.array([1] * len(to), pa.int32()))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
