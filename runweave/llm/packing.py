@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runweave.llm.common import materialize, table
+from runweave.llm.common import join_counted, materialize, table
 from runweave.llm.text import blocks
 from runweave.llm.tokens import DEFAULT, encoder
 
@@ -105,7 +105,8 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str = DEFAULT, end_id
     n_buckets = max(1, light.count() // bucket_docs)
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("doc_tokens", "ascending"), ("doc_id", "ascending")])
+        # of rows that are alike in all of these it makes no difference which comes first
+        group = group.sort_by([("doc_tokens", "ascending"), ("doc_id", "ascending"), ("sum", "ascending")])
         sizes = group["doc_tokens"].to_numpy()
         crcs = group["crcs"].combine_chunks().flatten().to_numpy()
         pieces = -(-sizes // window)
@@ -130,7 +131,12 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str = DEFAULT, end_id
             }
         )
 
-    dealt = light.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "doc_tokens", "crcs"), F.lit(n_buckets)))
+    # rows that are alike are dealt by their number among these, else they would share a bucket
+    light = light.withColumn("sum", F.xxhash64("doc_id", "doc_tokens", "crcs"))
+    many = light.groupBy("sum").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > bucket_docs)
+    spread = join_counted(light, many, ["sum"], "copies", light.count(), "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    part = F.pmod(F.monotonically_increasing_id(), F.ceil(F.col("copies") / bucket_docs))
+    dealt = spread.withColumn("bucket", F.pmod(F.xxhash64("sum", part), F.lit(n_buckets)))
     return dealt.groupBy("bucket").applyInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
