@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runweave.functions.types import JSON, KINDS
-from runweave.operators.points import typed_value
+from runweave.operators.points import typed_value, with_pos
 
 
 @dataclass(frozen=True)
@@ -82,3 +82,23 @@ def pick(selected: DataFrame, idx: int) -> DataFrame:
     order = F.col("pos").asc() if idx >= 0 else F.col("pos").desc()
     place = idx if idx >= 0 else -idx - 1
     return selected.orderBy(order).limit(place + 1).offset(place)
+
+
+def pick_many(selected: DataFrame, idx: slice | list[int]) -> DataFrame:
+    """The rows at places of what was selected, by a slice or a list; IndexError if one of a list is out of range.
+
+    Places are found range by range, so a long metric is spread over tasks. A
+    row comes once and in no order, whatever the order of the places.
+    """
+    n = selected.count()
+    ranked = with_pos(selected.withColumnRenamed("pos", "__pos").withColumn("__all", F.lit(0)), ("__all",), "__pos")
+    place = F.col("pos")
+    if isinstance(idx, slice):
+        found = range(n)[idx]
+        found = found if found.step > 0 else found[::-1]
+        chosen = (place >= found.start) & (place < found.stop) & ((place - found.start) % found.step == 0)
+    else:
+        if any(not -n <= i < n for i in idx):
+            raise IndexError(f"not all of {list(idx)[:9]} are among {n} rows")
+        chosen = place.isin([i % n for i in idx]) if len(idx) else F.lit(False)
+    return ranked.where(chosen).select(F.col("__pos").alias("pos"), "step", "value")

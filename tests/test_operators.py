@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runweave.operators import merge, monotonic, points, rewind, segments
-from runweave.operators.select import Selector, metric, pick
+from runweave.operators.select import Selector, metric, pick, pick_many
 
 POINT = points.SCHEMA
 
@@ -37,16 +37,16 @@ def greedy(steps):
 def test_segments_against_the_greedy_model(spark, rows):
     rng = random.Random(rows)
     of = {f"m{i}": [(s, 0) for s in sorted(rng.sample(range(40), rng.randrange(1, 14)))] for i in range(120)}
-    of |= {"run": [(s, 0) for s in range(0, 90, 3)], "two": [(s, 0) for s in (2, 1000, 2000, 3000, 4000)]}
+    of |= {"run": [(s, 0) for s in range(0, 90, 3)], "two": [(s, 0) for s in (5, 80, 300, 520, 740)]}
     got: dict = {}
     for r in segments.segment(series(spark, of), rows).collect():
         got.setdefault(r["metric"], []).append((r["start"], r["stop"], r["stride"]))
     assert {m: sorted(v) for m, v in got.items()} == {m: greedy([s for s, _ in v]) for m, v in of.items()}
-    assert sorted(got["two"]) == [(2, 1998, 998), (2000, 5000, 1000)]
+    assert sorted(got["two"]) == [(5, 155, 75), (300, 960, 220)]
 
 
 def test_segment_thresholds_tails_and_truncation(spark):
-    of = {"irregular": [(s, 0) for s in (0, 10, 11, 25, 26, 40, 41, 60, 61, 85)], "one": [(4, 0)], "even": [(s, 0) for s in (0, 1, 2)]}
+    of = {"irregular": [(s, 0) for s in (3, 4, 9, 11, 30, 31, 50, 58, 70, 77)], "one": [(4, 0)], "even": [(s, 0) for s in (0, 1, 2)]}
     found = segments.segment(series(spark, of))
     assert {r["metric"]: r["mode"] for r in segments.index_mode(found).collect()} == {"irregular": "indices", "one": "indices", "even": "segments"}
     open_ = spark.createDataFrame([("r", "a", 0, 4, 2), ("r", "a", 10, None, 5), ("r", "b", 3, None, 1)], "run string, metric string, start long, stop long, stride long")
@@ -82,14 +82,14 @@ def test_monotonic_against_a_model(spark, rows):
 @pytest.mark.parametrize("rows", [2, 10**6])
 def test_rewinds_against_a_model(spark, rows):
     rng = random.Random(2)
-    logs = {f"r{i}": [rng.randrange(8) for _ in range(rng.randrange(1, 12))] for i in range(150)} | {"example": [1, 2, 3, 4, 5, 2, 3]}
+    logs = {f"r{i}": [rng.randrange(8) for _ in range(rng.randrange(1, 12))] for i in range(150)} | {"example": [3, 5, 9, 12, 4, 9]}
     frame = spark.createDataFrame([(run, i, s, "x") for run, steps in logs.items() for i, s in enumerate(steps)], "run string, line long, step long, v string")
     want = {run: [(i, s) for i, s in enumerate(steps) if all(t > s for t in steps[i + 1 :])] for run, steps in logs.items()}
     got: dict = {}
     for r in rewind.resolve_rewinds(frame, rows).collect():
         got.setdefault(r["run"], []).append((r["line"], r["step"]))
     assert {k: sorted(v) for k, v in got.items()} == want
-    assert [s for _, s in want["example"]] == [1, 2, 3]
+    assert [s for _, s in want["example"]] == [3, 4, 9]
     again = {(r["run"], r["line"]) for r in rewind.repeated_steps(frame, rows).collect()}
     assert again == {(run, i) for run, steps in logs.items() for i in range(1, len(steps)) if steps[i] == steps[i - 1]}
 
@@ -103,9 +103,9 @@ def test_positions(spark):
 
 
 def test_selectors(spark):
-    of = series(spark, {"a": [(s * 10, v) for s, v in enumerate([0, 10, 2, 3, 30, math.nan])]})
+    of = series(spark, {"a": [(s * 10, v) for s, v in enumerate([1, 15, 4, 6, 40, math.nan])]})
     read = lambda **b: sorted(r["step"] for r in metric(of, "a", "f64", **b).collect())
-    assert read(istart=2, istop=5) == [20, 30, 40] and read(start=5, stop=20) == [10, 20] and read(vstart=2, vstop=10) == [10, 20, 30]
+    assert read(istart=2, istop=5) == [20, 30, 40] and read(start=5, stop=20) == [10, 20] and read(vstart=4, vstop=15) == [10, 20, 30]
     assert read(vstart=2) == [10, 20, 30, 40] and read(istart=9) == [] and read(start=9, stop=1) == [] and read(start=0.5) == [10, 20, 30, 40, 50]
     for bad in ({"start": 0, "istart": 0}, {"vstop": 1, "stop": 3}, {"istart": -1}):
         with pytest.raises(ValueError):
@@ -122,6 +122,13 @@ def test_selectors(spark):
     picked = lambda i: [r["step"] for r in pick(metric(of, "a", "f64"), i).collect()]
     assert (picked(0), picked(2), picked(-1), picked(-6), picked(6), picked(-7)) == ([0], [20], [50], [0], [], [])
     assert Selector().family is None
+    many = lambda i, **b: sorted(r["step"] for r in pick_many(metric(of, "a", "f64", **b), i).collect())
+    places = [0, 10, 20, 30, 40, 50]
+    for i in (slice(1, 4), slice(None, None, 2), slice(-2, None), slice(None, None, -2), slice(4, 1), slice(9, 12)):
+        assert many(i) == sorted(places[i])
+    assert many([0, -1, 0]) == [0, 50] and many([]) == [] and many(slice(1, None), vstart=4) == [20, 30, 40]
+    with pytest.raises(IndexError):
+        many([6])
 
 
 def test_step_filters_reach_the_scan(spark, tmp_path):
@@ -170,3 +177,30 @@ def test_checks(spark):
             points.checked(bad).collect()
     twice = series(spark, {"a": [(0, 1), (0, 2), (1, 1)]})
     assert [tuple(r) for r in points.duplicates(twice).collect()] == [("r", "a", 0, 2)]
+
+
+def test_order_of_steps(spark):
+    good = series(spark, {"a": [(i, 1) for i in range(9)], "b": [(5, 1)]})
+    assert points.increasing(good, rows=2).count() == 10 and points.out_of_order(good, rows=2).count() == 0
+    bad = series(spark, {"a": [(0, 1), (4, 1), (4, 1), (6, 1), (2, 1)], "b": [(1, 1)]})
+    for rows in (2, 10**6):
+        assert sorted(tuple(r) for r in points.out_of_order(bad, rows).collect()) == [("r", "a", 2, 4, 4), ("r", "a", 4, 2, 6)]
+    with pytest.raises(Exception, match="doesn't increase"):
+        points.increasing(bad).collect()
+
+
+def test_one_metric_with_most_rows_is_spread(spark):
+    """With broadcasts off, no task of merging, placing, ordering or segmenting gets more than a few ranges of it."""
+    seen = spark.range(0, 40_000).selectExpr("'r' as run", "if(id % 10 = 0, concat('m', id % 7), 'big') as metric", "id as pos", "id * 3 + id % 2 as step", "'f64' as dtype", "cast(id as double) as num", "cast(null as decimal(20,0)) as ival", "cast(null as string) as json")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in (("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.shuffle.partitions", "40"), ("spark.sql.adaptive.enabled", "false")):
+            spark.conf.set(k, v)
+        cold = seen.where("step < 9000")
+        fresh = merge.merge(cold, seen, 500).where("step >= 9000")
+        for out in (points.with_pos(seen.drop("pos"), rows=500), fresh, segments.segment(seen, 500), points.out_of_order(seen.withColumn("step", -F.col("step")), 500)):
+            sizes = [r["count"] for r in out.withColumn("part", F.spark_partition_id()).groupBy("part").count().collect()]
+            assert sum(sizes) > 10_000 and max(sizes) < 0.25 * sum(sizes)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
