@@ -4,7 +4,8 @@ An inverted file: k-means centroids cut the vectors into lists, what is left of
 a vector after its centroid is product-quantised. A query probes the lists whose
 centroids have the largest product with it. With a table of its products with
 all codewords it ranks their rows, and the best are ranked again exactly on the
-original vectors. Long lists are cut into chunks of bounded size.
+original vectors. Long lists are cut into chunks, and what is asked of a list into parts,
+of bounded size, so that a task meets a block of rows with a block of queries.
 """
 
 from __future__ import annotations
@@ -29,9 +30,12 @@ CHUNK_ROWS, LEAST_RERANK = 2048, 64
 #: Neighbours of TRIALS sampled rows that probing, and then ranking by codes, must find; lists probed at least.
 GOAL, TRIALS, LEAST_PROBES = 0.98, 128, 4
 NEIGHBOURS, QUERY_STEP = 20, 20
+#: Queries of a list that a task takes, in expectation.
+PART_QUERIES = 2048
 #: Groups in which what chunks have found for a query is merged first.
 MERGES = 32
-_QUERY_BLOCK = 128
+#: Bytes of the vectors that are ranked exactly at once.
+_RERANK_BYTES = 32 << 20
 
 
 def _matrix(column: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -135,12 +139,12 @@ def search(vectors: DataFrame, query_step: int = QUERY_STEP, k: int = NEIGHBOURS
     """query_id, rank, vec_id and score: the k nearest found of every query.
 
     `vectors` has (vec_id, embedding); queries are the rows whose vec_id is
-    divisible by `query_step`, candidates all rows of another vec_id. Rows with
+    divisible by `query_step`, candidates of each all other rows. Rows with
     a null id, or whose vector is null, zero, or has a null or non-finite
     component or another length than most, take no part. Scores are inner
     products in double precision; equal ones go to the smaller vec_id. A query
-    with fewer candidates than k gets all. Rows that repeat an id are candidates
-    each; as queries they are one, with the first of their vectors.
+    with fewer candidates than k gets all. Rows that repeat an id are rows of
+    their own: each is a candidate of the others, and a query with ranks from 1.
     Extra columns are ignored; an empty table gives an empty result.
 
     How many lists are probed and how many rows ranked exactly follows from the
@@ -168,68 +172,89 @@ def search(vectors: DataFrame, query_step: int = QUERY_STEP, k: int = NEIGHBOURS
                 lists, codes = shared.value.encode(x)
                 yield pa.RecordBatch.from_pydict({"vec_id": batch.column("vec_id").take(pa.array(at)), "list": pa.array(lists, pa.int32()), "codes": pa.array([c.tobytes() for c in codes], pa.binary()), "vector": pa.array([v.tobytes() for v in x], pa.binary())})
 
-    indexed = materialize(rows.mapInArrow(index, "vec_id long, list int, codes binary, vector binary"), "ann-index")
+    # written, so that a row keeps its number
+    indexed = materialize(rows.mapInArrow(index, "vec_id long, list int, codes binary, vector binary").withColumn("row", F.monotonically_increasing_id()), "ann-index")
     sizes = np.zeros(len(model.centers), dtype=np.int64)
     for r in indexed.groupBy("list").count().collect():  # MOST_LISTS rows at most
         sizes[r["list"]] = r["count"]
     chunks = np.maximum(1, -(-sizes // CHUNK_ROWS))
     least = max(LEAST_PROBES, int(np.ceil(probe_share * len(sizes))))
 
+    def probed(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        """The lists to probe for each vector: at least `least`, and as many as hold k others."""
+        x = np.frombuffer(b"".join(batch.column("vector").to_pylist())).reshape(-1, width)
+        order = np.argsort(-(x @ shared.value.centers.T), axis=1, kind="stable")
+        for lists in order:
+            yield lists[: max(least, int(np.searchsorted(np.cumsum(sizes[lists]), k + 1)) + 1)]
+
+    def demand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(sizes), dtype=np.int64)
+        for batch in batches:
+            for lists in probed(batch) if batch.num_rows else ():
+                total[lists] += 1
+        yield pa.RecordBatch.from_pydict({"list": pa.array(np.arange(len(total)), pa.int32()), "n": pa.array(total)})
+
+    asked = indexed.where(F.col("vec_id") % query_step == 0)
+    parts = np.ones(len(sizes), dtype=np.int64)
+    for r in asked.select("vector").mapInArrow(demand, "list int, n long").groupBy("list").agg(F.sum("n").alias("n")).collect():  # MOST_LISTS rows at most
+        parts[r["list"]] = max(1, -(-r["n"] // PART_QUERIES))
+
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centers = shared.value.centers
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.frombuffer(b"".join(batch.column("vector").to_pylist())).reshape(-1, width)
-            order = np.argsort(-(x @ centers.T), axis=1, kind="stable")
-            for i, query in enumerate(batch.column("vec_id").to_pylist()):
-                held = np.cumsum(sizes[order[i]])
-                # at least `least` lists, and as many as hold k others
-                n = max(least, int(np.searchsorted(held, k + 1)) + 1)
-                lists = order[i][:n]
+            for i, lists in enumerate(probed(batch)):
+                row, vector = batch.column("row")[i].as_py(), batch.column("vector")[i].as_py()
                 to = np.repeat(lists, chunks[lists])
                 chunk = np.concatenate([np.arange(c) for c in chunks[lists]])
-                vector = batch.column("vector")[i].as_py()
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array([query] * len(to), pa.int64()), "query": pa.array([vector] * len(to), pa.binary()), "list": pa.array(to, pa.int32()), "chunk": pa.array(chunk, pa.int32())})
+                part = (row * 0x9E3779B1 >> 7) % parts[to]
+                yield pa.RecordBatch.from_pydict({"query_row": pa.array([row] * len(to), pa.int64()), "query": pa.array([vector] * len(to), pa.binary()), "list": pa.array(to, pa.int32()), "chunk": pa.array(chunk, pa.int32()), "part": pa.array(part, pa.int32())})
+
+    block = max(1, min(128, _RERANK_BYTES // (8 * width * rerank)))
 
     def best(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         """The k best of one chunk for each query that probes its list."""
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if left.num_rows and right.num_rows:
-            left = left.sort_by("vec_id")
-            ids = left["vec_id"].to_numpy()
+            left = left.sort_by([("vec_id", "ascending"), ("row", "ascending")])
+            ids, rows = left["vec_id"].to_numpy(), left["row"].to_numpy()
             x = np.frombuffer(b"".join(left["vector"].to_pylist())).reshape(-1, width)
             codes = np.frombuffer(b"".join(left["codes"].to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
-            asked = right["query_id"].to_numpy()
+            askers = right["query_row"].to_numpy()
             queries = np.frombuffer(b"".join(right["query"].to_pylist())).reshape(-1, width)
-            for at in range(0, len(asked), _QUERY_BLOCK):
-                few = queries[at : at + _QUERY_BLOCK]
+            for at in range(0, len(askers), block):
+                few, own = queries[at : at + block], askers[at : at + block]
                 near = np.zeros((len(few), len(ids)))
                 for j, t in enumerate(shared.value.tables(few)):
                     near += t[:, codes[:, j]]
-                block = asked[at : at + _QUERY_BLOCK]
-                near[ids == block[:, None]] = -np.inf
+                near[rows == own[:, None]] = -np.inf
                 top = _top(near, rerank)
-                which = np.repeat(np.arange(len(few)), top.shape[1])
-                score = _product(few[which], x[top.ravel()])
-                found = ids[top.ravel()]
+                # products of the best by codes; those near the k-th are summed in order, as scores are given
+                exact = np.matmul(x[top], few[:, :, None])[:, :, 0]
+                exact[rows[top] == own[:, None]] = -np.inf
+                edge = np.partition(exact, max(0, exact.shape[1] - k), axis=1)[:, max(0, exact.shape[1] - k)]
+                which, place = np.nonzero((exact >= (edge - 1e-9 * (1 + np.abs(edge)))[:, None]) & (exact > -np.inf))
+                spot = top[which, place]
+                score, found = _product(few[which], x[spot]), ids[spot]
                 order = np.lexsort((found, -score, which))
-                order = order[found[order] != block[which[order]]]
                 first = np.searchsorted(which[order], np.arange(len(few)))
                 order = order[np.arange(len(order)) - first[which[order]] < k]
-                out.append((block[which[order]], found[order], score[order]))
+                out.append((own[which[order]], found[order], score[order]))
         q, v, s = (np.concatenate([o[i] for o in out]) if out else np.zeros(0) for i in range(3))
         first = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1]))) if len(q) else np.zeros(0, dtype=np.int64)
-        rows = pa.StructArray.from_arrays([pa.array(-s.astype(np.float64)), pa.array(v.astype(np.int64))], names=["order", "vec_id"])
-        return pa.table({"query_id": pa.array(q[first].astype(np.int64)), "found": pa.ListArray.from_arrays(pa.array(np.append(first, len(q)), pa.int32()), rows)})
-
-    n_chunks = F.array(*(F.lit(int(c)) for c in chunks))
-    dealt = indexed.withColumn("chunk", F.pmod(F.xxhash64("vec_id", "codes"), F.get(n_chunks, F.col("list")).cast("long")).cast("int"))
-    queries = indexed.where(F.col("vec_id") % query_step == 0).groupBy("vec_id").agg(F.min("vector").alias("vector")).mapInArrow(probe, "query_id long, query binary, list int, chunk int")
-    found = dealt.groupBy("list", "chunk").cogroup(queries.groupBy("list", "chunk")).applyInArrow(best, "query_id long, found array<struct<order:double,vec_id:long>>")
+        found = pa.StructArray.from_arrays([pa.array(-s.astype(np.float64)), pa.array(v.astype(np.int64))], names=["order", "vec_id"])
+        return pa.table({"query_row": pa.array(q[first].astype(np.int64)), "found": pa.ListArray.from_arrays(pa.array(np.append(first, len(q)), pa.int32()), found)})
+
+    of_list = lambda numbers: F.get(F.array(*(F.lit(int(c)) for c in numbers)), F.col("list"))
+    dealt = indexed.withColumn("chunk", F.pmod(F.xxhash64("row", "codes"), of_list(chunks).cast("long")).cast("int"))
+    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), of_list(parts) - 1)))
+    queries = asked.select("row", "vector").mapInArrow(probe, "query_row long, query binary, list int, chunk int, part int")
+    keys = ["list", "chunk", "part"]
+    found = dealt.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(best, "query_row long, found array<struct<order:double,vec_id:long>>")
     merged = lambda rows: F.slice(F.array_sort(F.flatten(F.collect_list(rows))), 1, k)
-    few = found.groupBy("query_id", F.pmod(F.xxhash64("found"), F.lit(MERGES))).agg(merged("found").alias("found")).groupBy("query_id").agg(merged("found").alias("found"))
-    return few.select("query_id", F.posexplode("found").alias("place", "one")).select("query_id", (F.col("place") + 1).alias("rank"), "one.vec_id", (-F.col("one.order")).alias("score"))
+    few = found.groupBy("query_row", F.pmod(F.xxhash64("found"), F.lit(MERGES))).agg(merged("found").alias("found")).groupBy("query_row").agg(merged("found").alias("found"))
+    named = few.join(asked.select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id")), "query_row")
+    return named.select("query_id", F.posexplode("found").alias("place", "one")).select("query_id", (F.col("place") + 1).alias("rank"), "one.vec_id", (-F.col("one.order")).alias("score"))
 
 
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,3 +57,16 @@ def test_top_takes_the_first_of_equals(n):
     got = ann._top(scores, n)
     assert sorted(got[1].tolist()) == list(range(n))
     assert set(got[0].tolist()) == set(np.lexsort((np.arange(8), -scores[0]))[:n].tolist())
+
+
+@pytest.mark.parametrize("part", [1, 2048])
+def test_repeated_ids_are_rows_of_their_own(spark, monkeypatch, part):
+    monkeypatch.setattr(ann, "PART_QUERIES", part)
+    rows = [(20, [1.0, 2.0]), (20, [3.0, 1.0]), (21, [1.0, 1.0]), (40, [2.0, 2.0]), (40, [2.0, 2.0])]
+    got = sorted(tuple(r) for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=3).collect())
+    want = []
+    for i, (q, x) in enumerate(rows):
+        if q % 20 == 0:
+            scored = sorted((-product(np.array(x), np.array(y)), v) for j, (v, y) in enumerate(rows) if j != i)
+            want += [(q, place + 1, v, -s) for place, (s, v) in enumerate(scored[:3])]
+    assert got == sorted(want)
