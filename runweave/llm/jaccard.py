@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from runweave.llm.common import bitmap, discard, in_bitmap, materialize, table
+from runweave.llm.common import bitmap, discard, in_bitmap, join_counted, materialize, scratch, table
 from runweave.llm.components import components
 from runweave.llm.text import U64, blocks, mix, shingles, utf8, word_hashes, words
 
@@ -141,8 +141,8 @@ def _needed_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of the pairs of classes (a, b) that are linked, by their full overlap."""
     wanted = pairs.select(F.col("a").alias("cid")).unionAll(pairs.select(F.col("b").alias("cid"))).distinct().join(classes.select("cid", "first_id"), "cid")
-    wanted = materialize(wanted, "jaccard-wanted")
-    sets = materialize(_needed_sets(docs, wanted, width), "jaccard-sets")
+    wanted = materialize(wanted, "jaccard-wanted", small=True)
+    sets = _needed_sets(docs, wanted, width)
     discard(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,12 +156,11 @@ def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, p
                 keep.append(100 * overlap >= percent * (len(one) + len(two) - overlap))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    # merged at every size: to broadcast the pairs of a small input only makes a large one behave otherwise
+    # merged at every size: to broadcast the pairs of a small input only makes a large one behave otherwise.
+    # Both joins take the sets from one shuffle.
     with_b = pairs.hint("merge").join(sets.select(F.col("cid").alias("b"), F.col("members").alias("y")), "b")
     both = with_b.hint("merge").join(sets.select(F.col("cid").alias("a"), F.col("members").alias("x")), "a")
-    found = materialize(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "jaccard-links")
-    discard(sets)
-    return found
+    return materialize(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "jaccard-links", small=True)
 
 
 def _may_link(percent: int) -> Column:
@@ -197,7 +196,7 @@ def _side(entries: DataFrame, k: int, *keys: str) -> DataFrame:
     return entries.select(*keys, *(F.col(c).alias(f"{c}{k}") for c in ("cid", "n", "pos", "shared", "component")))
 
 
-def _star(known: DataFrame, turn: int, percent: int) -> DataFrame:
+def _star(known: DataFrame, turn: int, percent: int, entries: int) -> DataFrame:
     """Pairs (a, b) of a class with one member of a column; the members that it meets most often.
 
     At first that is the member with the fewest rarer n-grams, as it differs
@@ -207,8 +206,8 @@ def _star(known: DataFrame, turn: int, percent: int) -> DataFrame:
     # two placements of the bands, so that close sizes are in one band of either
     place = F.log("n") / F.lit(math.log(200 / (100 + percent)))
     rows = known.withColumn("band", F.explode(F.array(2 * F.floor(place), 2 * F.floor(place + 0.5) + 1)))
-    heads = rows.groupBy("token", "band").agg(F.min(F.struct(drawn.alias("drawn"), "cid", "n", "pos", "shared", "component")).alias("head")).select("token", "band", "head.*")
-    met = _side(rows, 1, "token", "band").join(_side(heads, 2, "token", "band"), ["token", "band"]).where(_alike(percent)).groupBy("cid1", "cid2", "n1", "n2").agg(F.count(F.lit(1)).alias("times"))
+    heads = rows.groupBy("token", "band").agg(F.min(F.struct(drawn.alias("drawn"), "cid", "n", "pos", "shared", "component")).alias("head"), F.count(F.lit(1)).alias("times")).select("token", "band", "times", "head.*")
+    met = join_counted(_side(rows, 1, "token", "band"), _side(heads, 2, "token", "band", "times"), ["token", "band"], "times", 2 * entries).drop("times").where(_alike(percent)).groupBy("cid1", "cid2", "n1", "n2").agg(F.count(F.lit(1)).alias("times"))
     best = Window.partitionBy("cid1").orderBy(F.desc("times"), F.xxhash64("cid2", F.lit(turn)))
     chosen = met.where(F.col("times") * STAR_SHARE >= _least_shared(percent)).withColumn("place", F.row_number().over(best)).where(F.col("place") <= STAR_TRIES)
     return chosen.select(F.least("cid1", "cid2").alias("a"), F.greatest("cid1", "cid2").alias("b")).distinct()
@@ -238,35 +237,49 @@ def join_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     sought. Sets are told apart by 64 bits; so are shingles.
     """
     rows = materialize(_rows(docs, width, percent), "jaccard-rows")
+    with scratch("jaccard-answer"):
+        answer = _answer(docs, rows, width, percent)
+    out = rows.where("n > 0").select("doc_id", "n", "cid").join(answer, "cid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return out.unionAll(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+
+
+def _answer(docs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """(cid, component_id) of every class of `rows`."""
     classes = rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     classes = materialize(classes, "jaccard-classes")
     entries = classes.select("cid", "n", F.posexplode("tokens").alias("pos", "token"))
-    shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("token")
+    total = classes.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     # of columns that two classes show at least; a class has as many as it shows columns at most
-    entries = entries.join(shared, "token").withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("cid")))
+    entries = join_counted(entries, shared, ["token"], "times", total).drop("times").withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("cid")))
     entries = materialize(entries, "jaccard-entries")
 
-    known, links = entries.withColumn("component", F.col("cid")), []
+    known, links, total = entries.withColumn("component", F.col("cid")), [], entries.count()
     for turn in range(STAR_ROUNDS):
-        tried = materialize(_star(known, turn, percent), "jaccard-star")
+        tried = materialize(_star(known, turn, percent, total), "jaccard-star", small=True)
         links.append(_linked(docs, classes, tried, width, percent))
         label = components(reduce(DataFrame.unionAll, links), "jaccard-components")
+        if turn:
+            discard(known)
         known = _labelled(entries, label)
         if links[-1].count() * STAR_STOP <= tried.count() or _few_pairs(known):
             break
-    rest = _side(known, 1, "token").join(_side(known, 2, "token"), "token").where(F.col("cid1") < F.col("cid2")).where(_alike(percent) & _first_shared(percent))
+    # of a pair, the smaller set stands in its band of sizes and the next one, the larger in its own
+    place = F.floor(F.log("n") / F.lit(math.log(100 / percent) + 1e-9)).cast("long")
+    small = _side(known.withColumn("band", F.explode(F.array(place, place + 1))), 1, "token", "band")
+    large = _side(known.withColumn("band", place), 2, "token", "band")
+    once = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("cid1") < F.col("cid2")))
+    rest = small.join(large.hint("merge"), ["token", "band"]).where(once & _alike(percent) & _first_shared(percent))
     rest = materialize(rest.select("cid1", "cid2", "n1", "n2").distinct(), "jaccard-candidates")
     shown = known.select("cid", "token")
     rest = rest.join(shown.toDF("cid1", "token"), "cid1").join(shown.toDF("cid2", "token"), ["cid2", "token"])
     rest = rest.groupBy("cid1", "cid2", "n1", "n2").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= _least_shared(percent)).select(F.col("cid1").alias("a"), F.col("cid2").alias("b"))
-    links.append(_linked(docs, classes, materialize(rest, "jaccard-rest"), width, percent))
+    links.append(_linked(docs, classes, materialize(rest, "jaccard-rest", small=True), width, percent))
     label = components(reduce(DataFrame.unionAll, links), "jaccard-components")
 
     named = classes.select("cid", "first_id").join(label.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    answer = materialize(named.join(lowest, "component").select("cid", "component_id"), "jaccard-answer")
-    out = rows.where("n > 0").select("doc_id", "n", "cid").join(answer, "cid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.unionAll(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("times"))
+    return materialize(join_counted(named, lowest, ["component"], "times", classes.count()).select("cid", "component_id"), "jaccard-answer")
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
