@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runweave.llm.common import bitmap, in_bitmap, materialize, partitions, table
+from runweave.llm.common import bitmap, in_bitmap, join_counted, materialize, partitions, table
 from runweave.llm.text import U64, _power_table, blocks, mix, utf8, word_hashes, words
 
 WINDOW, PERIOD = 35, 21
@@ -258,17 +258,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     repeats = _repeats(_windows(candidates.join(anchors, "h"), window, period), 2, n_windows)
     kept = _kept(candidates.join(repeats, "h"), window).dropDuplicates(["h"])
     copies = light.groupBy("h").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    whole = F.col("copies").isNotNull() & (F.col("n_words") >= window)
-    return (
-        light.join(copies, "h", "left")
-        .join(kept, "h", "left")
-        .select(
-            "doc_id",
-            "n_words",
-            F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-            F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-        )
-    )
+    known = join_counted(light, copies, ["h"], "copies", light.count(), "left")
+    none, no_words = F.lit(0).cast("long"), F.sha2(F.lit("").cast("binary"), 256)
+    # a text with copies loses all or nothing; only others, of which each is alone, need the words that were kept
+    whole = F.col("n_words") >= window
+    copied = known.where("copies is not null").select("doc_id", "n_words", F.when(whole, F.col("n_words")).otherwise(none).alias("n_removed"), F.when(whole, no_words).otherwise(F.col("sha")).alias("kept_sha256"))
+    alone = known.where("copies is null").join(kept, "h", "left")
+    return copied.unionAll(alone.select("doc_id", "n_words", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256")))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
