@@ -6,11 +6,12 @@ and read again as the next one's documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runweave.llm import jaccard, langid, mixing, packing, secrets
-from runweave.llm.common import materialize, table
+from runweave.llm.common import bitmap, bound_batches, in_bitmap, materialize, scratch, table
 
 #: Words of a shingle and the least similarity, in per cent, of near duplicates; op9's own are stricter.
 NEAR_WIDTH, NEAR_PERCENT = 5, 80
@@ -19,28 +20,43 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language; those without a letter go.
+    """Documents that have a language; those without a letter go, and a missing `lang` is the predicted one.
 
     A short text may be unsure and clean, so it stays whatever its score.
     """
+    bound_batches(spark)
     docs = docs.select(*COLUMNS)
     model = langid.train(docs.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
     found = langid.predict(docs, model, list(COLUMNS))
-    return found.where(F.col("lang_pred") != langid.UNDETERMINED).select(*COLUMNS)
+    return found.where(F.col("lang_pred") != langid.UNDETERMINED).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked rows one: that with the smallest id, and of these that with the smallest key; rows without id come last.
 
     A row's key is a hash of its id and text, so rows that repeat an id with
-    other texts are told apart, and rows that repeat both are one.
+    other texts are told apart, and rows that repeat both are one. Most texts
+    stay where they are: only those whose key may go, or comes again, are dealt
+    by it, as a bitmap of such keys tells.
     """
     keyed = docs.select(*COLUMNS).withColumn("row_key", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull()))
     linked = jaccard.join_components(keyed.select(F.col("row_key").alias("doc_id"), "text"), width=NEAR_WIDTH, percent=NEAR_PERCENT).select(F.col("doc_id").alias("row_key"), "component_id").distinct()
-    ids = keyed.select("row_key", "doc_id").distinct().join(linked, "row_key")
-    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")).alias("first")).select("first.row_key")
-    kept = keyed.join(first, "row_key", "left_semi")
-    return kept.withColumn("turn", F.row_number().over(Window.partitionBy("row_key").orderBy("source", "lang"))).where("turn = 1").select(*COLUMNS)
+    ids = keyed.groupBy("row_key").agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("times"))
+    known = materialize(ids.join(linked, "row_key"), "near-keys")
+    first = known.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")).alias("first")).select(F.col("first.row_key").alias("row_key"), F.lit(True).alias("stays"))
+    open_ = known.select("row_key", "times").join(first, "row_key", "left").where("stays is null or times > 1").select("row_key", F.coalesce("stays", F.lit(False)).alias("stays"))
+    open_ = materialize(open_, "near-open", small=True)
+    shared = spark.sparkContext.broadcast(bitmap(open_.select("row_key"), open_.count()))
+
+    @F.pandas_udf("boolean")
+    def hit(keys: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(shared.value, keys.to_numpy()))
+
+    rows = keyed.withColumn("hit", hit("row_key"))
+    met = rows.where("hit").join(open_, "row_key", "left")
+    # a row that comes again may do so very often, so the least of them is taken where they are
+    again = met.where("stays").groupBy("row_key").agg(F.min(F.struct("source", "lang", "n_chars", "doc_id", "text")).alias("r")).select("r.*")
+    return rows.where("not hit").select(*COLUMNS).unionByName(met.where("stays is null").select(*COLUMNS)).unionByName(again.select(*COLUMNS))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,6 +89,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with scratch("pack-tokens"):
+        for name, stage in STAGES[:-1]:
+            with scratch(f"pipeline-{name}"):
+                docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        return STAGES[-1][1](spark, docs, sf_dir)
