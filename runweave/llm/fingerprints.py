@@ -28,7 +28,7 @@ BLOCK = 1 << 19
 #: Keys whose fingerprints a task merges at once.
 MERGED = 4096
 #: Rows of the sample, for each partition, from which the ranges of ids are taken.
-SAMPLE = 16
+SAMPLE = 64
 
 
 def bottom_k(texts: list[str], width: int = WIDTH, k: int = K) -> list[np.ndarray]:
@@ -176,9 +176,9 @@ def edited(text: str, following: str) -> str:
 def _bounds(keys: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys (a, tie) that cut the table into about n equal ranges, from a sample of bounded size."""
     rows = keys.count()
-    if rows > 4 * SAMPLE * n:
+    if rows > SAMPLE * n:
         keys = keys.where(F.pmod(F.xxhash64("a", "tie", F.lit(1)), F.lit(1 << 30)) < F.lit(int((1 << 30) * SAMPLE * n / rows)))
-    drawn = keys.toArrow()  # 16 bytes for each of 4 * SAMPLE * n at most
+    drawn = keys.toArrow()  # 16 bytes for each of SAMPLE * n rows, in expectation
     a, tie = drawn["a"].to_numpy(), drawn["tie"].to_numpy()
     order = np.lexsort((tie, a))
     cuts = np.unique(order[len(order) * np.arange(1, n) // n]) if len(order) else order
