@@ -1,7 +1,9 @@
+import random
 import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from runweave.llm import mixing
 
@@ -45,6 +47,30 @@ def test_mixed_texts_follow_the_plan(documents):
     assert dict(got) == {k: v for k, v in want.items() if v}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_many_sources_are_joined_by_key(spark, monkeypatch, seed):
+    """More sources than a broadcast may hold give the same mix: sizes vary a lot, so that limits are met in several rounds."""
+    rng = random.Random(seed)
+    rows = [(i, " ".join(f"w{rng.randrange(99)}" for _ in range(int(3 ** (6 * rng.random())))), None if i % 60 == 7 else f"s{i % 60}" if i % 3 else "hot") for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("__key", F.lit("x")).withColumn("__s", F.lit(1))
+    sizes = defaultdict(int)
+    for _, text, source in rows:
+        sizes[source] += size(text)
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    goal = dict(zip(names, mixing.targets([sizes[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))], sum(sizes.values()), 3.0), strict=True))
+    few = sorted(mixing.plan_mix(frame).select("doc_id", "size", "taken", "target").collect())
+    mixed = sorted(mixing.mix(frame).collect())
+    monkeypatch.setattr(mixing, "MOST_SOURCE_BYTES", 0)
+    many = mixing.plan_mix(frame)
+    assert sorted(many.select("doc_id", "size", "taken", "target").collect()) == few and sorted(mixing.mix(frame).collect()) == mixed
+    source = {i: s for i, _, s in rows}
+    assert all(r["target"] == pytest.approx(goal[source[r["doc_id"]]]) for r in few)
+    words = defaultdict(int)
+    for r in mixed:
+        words[source[r["doc_id"]]] += size(r["text"])
+    assert all(words[s] == int(goal[s] + 1e-9) for s in names)
+
+
 def test_targets():
     assert mixing.targets([100, 100], [1, 1], 200, 3) == [100, 100]
     assert mixing.targets([10, 100, 100], [5, 2, 1], 210, 3) == [30, 120, 60]
