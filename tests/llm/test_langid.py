@@ -73,6 +73,19 @@ def test_predictions_against_brute_force(spark):
         assert got[i]["score"] == pytest.approx(1 / sum(math.exp(x - best) for x in logs.values()), abs=1e-3)
 
 
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_blocks_of_languages(spark, monkeypatch, most):
+    """Languages in blocks give the predictions of one model; a text without letters stays undetermined."""
+    frame, _ = corpus(spark, 80)
+    frame = frame.unionByName(spark.createDataFrame([(900, "12 34", None), (901, None, "aa")], frame.schema))
+    want = sorted(langid.label(frame, frame, ["doc_id", "text"]).collect(), key=lambda r: r["doc_id"])
+    monkeypatch.setattr(langid, "MAX_MODEL_BYTES", most * 4 * langid.DIMS)
+    got = sorted(langid.label(frame, frame, ["doc_id", "text"]).collect(), key=lambda r: r["doc_id"])
+    assert [(r["doc_id"], r["text"], r["lang_pred"]) for r in got] == [(r["doc_id"], r["text"], r["lang_pred"]) for r in want]
+    assert [r["score"] for r in got] == pytest.approx([r["score"] for r in want], rel=1e-9)
+    assert {r["lang_pred"] for r in got[-2:]} == {"und"} and got[-1]["score"] == 0
+
+
 def test_odd_rows(spark, documents, clashing, nothing):
     assert langid.identify(nothing).collect() == []
     got = langid.identify(clashing).collect()
