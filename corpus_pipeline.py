@@ -26,8 +26,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     bound_batches(spark)
     docs = docs.select(*COLUMNS)
-    model = langid.train(docs.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
-    found = langid.predict(docs, model, list(COLUMNS))
+    found = langid.label(docs, docs.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0), list(COLUMNS))
     return found.where(F.col("lang_pred") != langid.UNDETERMINED).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
