@@ -119,9 +119,9 @@ def train(docs: DataFrame, dims: int = DIMS, orders: tuple[int, ...] = ORDERS, t
     shares = docs.sparkSession.createDataFrame([(r["lang"], i, min(1.0, train_docs / r["n"])) for i, r in enumerate(sizes)], "lang string, place int, share double")
     drawn = (F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 30)) / F.lit(float(1 << 30))) < F.col("share")
     rows = known.join(F.broadcast(shares), "lang").where(drawn).select("text", "place").mapInArrow(_counts(dims, orders), "place int, slot int, n long")
-    rows = rows.groupBy("place", "slot").agg(F.sum("n").alias("n")).toPandas()
+    rows = rows.groupBy("place", "slot").agg(F.sum("n").alias("n")).toArrow()  # dims rows for each language at most
     counts = np.zeros((dims, len(langs)))
-    counts[rows["slot"].to_numpy(), rows["place"].to_numpy()] = rows["n"]
+    counts[rows["slot"].to_numpy(), rows["place"].to_numpy()] = rows["n"].to_numpy()
     counts += smoothing
     return langs, np.log(counts / counts.sum(axis=0)).astype(np.float32)
 
