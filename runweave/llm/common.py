@@ -52,12 +52,13 @@ def materialize(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     This cuts the lineage with files that every executor can reach, so a lost
     executor never forces the steps before it to run again. `small` says that
     the rows are few for the tasks that make them: they are dealt anew, so that
-    the table has few files.
+    the table has few files. No marker file is written: who reads the table is
+    given it after the job has ended.
     """
     spark = df.sparkSession
     bound_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    (df.hint("rebalance") if small else df).write.parquet(path)
+    (df.hint("rebalance") if small else df).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
     if _scopes:
